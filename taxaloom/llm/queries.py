@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.versions import latest_versions
 from ..plans.tables import table
-from . import bpe, cooccurrence, topk
+from . import bpe, cooccurrence, leakage, topk, truncation
 
 BEST = 3
 MIN_TOGETHER, MIN_LIFT = 20, 5
@@ -49,7 +49,24 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").alias("n_ids"), (back == F.coalesce("text", F.lit(""))).alias("same_text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_best_matches, p3_found, p3_pairs, p6_ids, p6_round_trip)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents hold each leaked item."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count("doc_id").alias("n_docs"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_best_matches, p3_found, p3_pairs, p6_ids, p6_round_trip, p7_found, p7_items, p8_found, p8_rates)}
 
 _BEST = """
 WITH latest AS (
