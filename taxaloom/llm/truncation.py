@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Bounds of the fit: texts that are sampled, cuts that are made of each, weights.
 SAMPLE_TEXTS, CUTS, BITS = 6_000, 6, 18
+#: Tasks that make the examples.
+MAKERS = 12
 #: A limit is a length that at least this many texts and this share of a source's share.
 LIMIT_TEXTS, LIMIT_SHARE = 5, 100
 #: Score from which a text counts as cut.
@@ -228,12 +230,16 @@ def _examples(bits: int, seed: int):
 def fit(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS, bits: int = BITS, seed: int = 7, rounds: int = 40) -> np.ndarray:
     """Weights of the hashed features, fitted on a bounded sample.
 
-    The sample is the `sample_texts` texts with the least hash of their id; the driver
-    holds at most `sample_texts * 2 * CUTS` rows of about 40 numbers each.
+    The sample is the `sample_texts` texts with the least hash of their id, of those
+    below a bound on the hash that leaves about three times as many, so that the one task
+    that picks them reads a bounded number. The driver holds at most
+    `sample_texts * 2 * CUTS` rows of about 40 numbers each.
     """
-    texts = documents.filter(F.length("text") >= 120).select("doc_id", "text")
-    sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_texts)
-    got = sample.mapInArrow(_examples(bits, seed), "label int, features array<int>").toArrow()
+    share = min(1.0, 3 * sample_texts / max(1, documents.count()))
+    at = F.xxhash64("doc_id")
+    texts = documents.filter((F.length("text") >= 120) & (at <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.length("text") >= 120)).select("doc_id", "text")
+    sample = texts.orderBy(at, "doc_id").limit(sample_texts)
+    got = sample.repartition(MAKERS, "doc_id").mapInArrow(_examples(bits, seed), "label int, features array<int>").toArrow()
     weights = np.zeros(1 << bits)
     if not got.num_rows:
         return weights
