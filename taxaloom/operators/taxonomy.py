@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 ROOT = "1"
 
 
@@ -61,6 +63,11 @@ def lineages(tax: DataFrame, root: str = ROOT) -> DataFrame:
     return got
 
 
+def kept_lineages(tax: DataFrame, root: str = ROOT) -> DataFrame:
+    """As `lineages`, written to the shared folder once, for plans that read it often."""
+    return Scratch(tax.sparkSession, "lineage").cut(lineages(tax, root))[0]
+
+
 def closure(lineage: DataFrame) -> DataFrame:
     """`node, anc, anc_depth, anc_rank, depth`: every node with each ancestor-or-self."""
     zipped = F.arrays_zip("path", "ranks")

@@ -178,7 +178,7 @@ def res1_unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 def res2_lca(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.resolve(_matches(spark, d), ["read"], "lca", taxonomy.lineages(doc_tax(spark, d)))
+    return resolve.resolve(_matches(spark, d), ["read"], "lca", taxonomy.kept_lineages(doc_tax(spark, d)))
 
 
 def res3_skip(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +187,7 @@ def res3_skip(spark: SparkSession, d: str) -> DataFrame:
 
 def agg5_counters(spark: SparkSession, d: str) -> DataFrame:
     m = _matches(spark, d).join(reads(spark, d).select("read", "prefix"), "read")
-    r = resolve.resolve(m, ["read", "prefix"], "lca", taxonomy.lineages(doc_tax(spark, d)))
+    r = resolve.resolve(m, ["read", "prefix"], "lca", taxonomy.kept_lineages(doc_tax(spark, d)))
     return resolve.counters(m, r, ["prefix"])
 
 
