@@ -36,9 +36,15 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGT", "TGCA"))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once, although `use` names it in inner lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def kmers(seq: Column, k: int) -> Column:
     """All substrings of length k, in order; none for shorter texts."""
-    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    empty = F.array().cast("array<string>")
+    return _once(seq, lambda s: F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substring(s, i, F.lit(k)))).otherwise(empty))
 
 
 def canonical(kmer: Column) -> Column:
