@@ -55,7 +55,8 @@ def _double(state: DataFrame, scratch: Scratch, paths: list[str]) -> DataFrame:
     state: node, at (where the walker stands), done, trail (nodes passed, oldest first).
     The returned table's rows with done = false lead into loops.
     """
-    open_count = state.filter(~F.col("done")).count()
+    state, path, open_count = scratch.cut_and_count(state, ~F.col("done"))
+    paths.append(path)
     while open_count:
         other = state.select(F.col("node").alias("__n"), F.col("at").alias("__at"), F.col("done").alias("__done"), F.col("trail").alias("__trail"))
         moved = (
@@ -63,18 +64,16 @@ def _double(state: DataFrame, scratch: Scratch, paths: list[str]) -> DataFrame:
             .join(other, F.col("at") == F.col("__n"))
             .select("node", F.col("__at").alias("at"), F.col("__done").alias("done"), F.concat("trail", "__trail").alias("trail"))
         )
-        state, path = scratch.cut(state.filter(F.col("done")).unionByName(moved))
+        state, path, left = scratch.cut_and_count(state.filter(F.col("done")).unionByName(moved), ~F.col("done"))
         paths.append(path)
-        left = state.filter(~F.col("done")).count()
         if left == open_count:
             break
         open_count = left
     return state
 
 
-def _name_loops(walkers: DataFrame, scratch: Scratch) -> DataFrame:
-    """`node, loop_node` of walkers (node, at) whose pointers never leave the table."""
-    n = walkers.count()
+def _name_loops(walkers: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """`node, loop_node` of n walkers (node, at) whose pointers never leave the table."""
     state, path = scratch.cut(walkers.select("node", "at", F.col("node").alias("low")))
     steps = 1
     while steps < n:
@@ -124,8 +123,7 @@ def solve(df: DataFrame, node: str = "node", parent: str = "parent", end: str =
         )
     )
     # a splitter whose parent never arrives hangs below a loop without splitters
-    hops, at = scratch.cut(hops.withColumn("lost", F.col("lost") & ~F.col("done")))
-    paths.append(at)
+    hops = hops.withColumn("lost", F.col("lost") & ~F.col("done"))
     reduced = _double(
         # such a splitter stays where it is and so never arrives, nor does what points to it
         hops.select("node", F.when(F.col("lost"), F.col("node")).otherwise(F.col("at")).alias("at"), "done", F.when(F.col("lost"), F.array().cast("array<string>")).otherwise(F.col("trail")).alias("trail")),
@@ -140,16 +138,16 @@ def solve(df: DataFrame, node: str = "node", parent: str = "parent", end: str =
         .select("node", "root", F.reverse(F.concat("trail", "__up", F.array("root"))).alias("path"))
         .select("node", "root", (F.size("path") - 1).alias("depth"), "path", F.lit(None).cast("string").alias("loop_node"))
     )
-    tree, _ = scratch.cut(tree)
+    tree, at = scratch.cut(tree)
     stuck = graph.join(tree.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_anti").select("node", F.col("parent").alias("at"))
-    stuck, at = scratch.cut(stuck)
-    paths.append(at)
-    if not stuck.isEmpty():
-        named = _name_loops(stuck, scratch)
+    stuck, stuck_at, left = scratch.cut_and_count(stuck, F.col("node").isNotNull())
+    paths.append(stuck_at)
+    if left:
+        named = _name_loops(stuck, left, scratch)
         empty = F.lit(None)
         loops = named.select("node", empty.cast("string").alias("root"), empty.cast("int").alias("depth"), empty.cast("array<string>").alias("path"), "loop_node")
-        tree = tree.unionByName(loops)
-    tree, _ = scratch.cut(tree)
+        kept, _ = scratch.cut(loops)
+        tree = tree.unionByName(kept)
     scratch.drop(*paths)
     return Forest(tree, scratch)
 

@@ -27,8 +27,15 @@ def build_index(refs: DataFrame, k: int, w: int, min_length: int = 0) -> tuple[D
     the distinct hashes of each file summed over a target's files. Sequences shorter than
     `min_length` are skipped; targets without hashes have no rows."""
     rows = hashed(refs.filter(F.length("seq") >= min_length), k, w).select("file", "target", F.explode(F.array_distinct("hashes")).alias("hash"))
-    per_file = rows.distinct()
-    return per_file.select("hash", "target").distinct(), per_file.groupBy("target").agg(F.count(F.lit(1)).alias("n_hashes"))
+    sizes = rows.distinct().groupBy("target").agg(F.count(F.lit(1)).alias("n_hashes"))
+    return rows.select("hash", "target").distinct(), sizes
+
+
+def relevant(index: DataFrame, reads: DataFrame) -> DataFrame:
+    """The index rows whose hash some read has. For an index that is made on the fly from
+    many references for few reads: the semi-join moves below the index's distinct, so
+    what no read asks for is never shuffled. Not for a stored index and many reads."""
+    return index.join(reads.select(F.explode("hashes").alias("hash")).distinct(), "hash", "left_semi")
 
 
 def save_index(index: DataFrame, sizes: DataFrame, path: str, partitions: int, **config: object) -> None:

@@ -68,11 +68,11 @@ def classes(matches: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _assigned(many: DataFrame, prob: DataFrame) -> DataFrame:
-    """`class, target, weight`: each class goes to its most probable target; ties to the
-    earliest in its list."""
-    rows = many.select("targets", "weight", F.posexplode("targets").alias("pos", "target")).join(prob.select("target", "p"), "target")
-    best = F.max_by("target", F.struct("p", (-F.col("pos")).alias("o")))
-    return rows.groupBy("targets", "weight").agg(best.alias("target"))
+    """`target, g`: the reads of each class (`cls, weight, pos, target`) go to its most
+    probable target; ties to the earliest in its list."""
+    rows = many.join(prob.select("target", "p"), "target")
+    best = F.max(F.struct("p", (-F.col("pos")).alias("o"), "target", "weight"))
+    return rows.groupBy("cls").agg(best.alias("b")).groupBy(F.col("b.target").alias("target")).agg(F.sum("b.weight").alias("g"))
 
 
 def em(matches: DataFrame, key: list[str], max_iter: int = 10, threshold: float = 0.0) -> tuple[DataFrame, DataFrame, int]:
@@ -87,17 +87,17 @@ def em(matches: DataFrame, key: list[str], max_iter: int = 10, threshold: float
     relation when a round limit ends it, as the latter uses the newer probabilities.
     """
     scratch = Scratch(matches.sparkSession, "em")
-    cls, cls_path = scratch.cut(classes(matches, key))
+    cls, _ = scratch.cut(classes(matches, key).withColumn("cls", F.monotonically_increasing_id()))
     reads = cls.agg(F.sum("weight").alias("n")).first()["n"] or 0
     targets = cls.select(F.explode("targets").alias("target")).distinct()
     unique = cls.filter(F.size("targets") == 1).select(F.col("targets")[0].alias("target"), F.col("weight").alias("unique"))
     prob = targets.join(unique, "target", "left").select("target", F.coalesce("unique", F.lit(0)).alias("unique"))
     total = prob.agg(F.sum("unique").alias("n")).first()["n"] or 1
     prob, path = scratch.cut(prob.select("target", "unique", F.lit(0).cast("bigint").alias("assigned"), (F.col("unique") / F.lit(total)).alias("p")))
-    many = cls.filter(F.size("targets") > 1)
+    many, _ = scratch.cut(cls.filter(F.size("targets") > 1).select("cls", "weight", F.posexplode("targets").alias("pos", "target")))
     rounds = 0
     while True:
-        got = _assigned(many, prob).groupBy("target").agg(F.sum("weight").alias("g"))
+        got = _assigned(many, prob)
         nxt = prob.join(got, "target", "left").select("target", "unique", F.coalesce("g", F.lit(0)).alias("assigned"), "p", ((F.col("unique") + F.coalesce("g", F.lit(0))) / F.lit(max(1, reads))).alias("q"))
         nxt, new = scratch.cut(nxt)
         change = nxt.agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("d")).first()["d"] or 0.0

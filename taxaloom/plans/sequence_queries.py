@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bloom, dna, text
 from ..operators import matching, resolve, taxonomy
+from ..session import spread
 from .tables import table
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
@@ -31,7 +32,7 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").filter(F.col("text").isNotNull())
+    rows = spread(table(spark, d, "documents")).filter(F.col("text").isNotNull())
     return rows.select(F.col("doc_id").alias("file"), F.concat(F.lit("d"), F.col("doc_id")).alias("target"), (F.col("doc_id") % 2).alias("db"), "lang", "source", nucleotides(F.col("text")).alias("seq"))
 
 
@@ -61,7 +62,8 @@ def _read_hashes(spark: SparkSession, d: str, paired: bool = False) -> DataFrame
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return matching.count_matches(_read_hashes(spark, d), _index(spark, d)[0], ["read"])
+    h = _read_hashes(spark, d)
+    return matching.count_matches(h, matching.relevant(_index(spark, d)[0], h), ["read"])
 
 
 def _rates(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +144,7 @@ def flt6_fpr_query(spark: SparkSession, d: str) -> DataFrame:
 
 def joi3_databases(spark: SparkSession, d: str) -> DataFrame:
     h = _read_hashes(spark, d)
-    parts = [matching.rel_cutoff(matching.count_matches(h, _index(spark, d, db)[0].withColumn("target", F.concat(F.lit("t"), F.substring("target", 6, 3))).distinct(), ["read"]), 0.2) for db in (0, 1)]
+    parts = [matching.rel_cutoff(matching.count_matches(h, matching.relevant(_index(spark, d, db)[0], h).withColumn("target", F.concat(F.lit("t"), F.substring("target", 6, 3))).distinct(), ["read"]), 0.2) for db in (0, 1)]
     return matching.merge_databases(parts, ["read"])
 
 
@@ -151,13 +153,13 @@ def flt7_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     levels = []
     for label, db in (("B", 1), ("A", 0)):
         index, sizes = _index(spark, d, db)
-        levels.append((label, [(index, sizes.select("target", F.lit(0.0).alias("fpr")), CUTOFF)], FILTER, 1.0))
+        levels.append((label, [(matching.relevant(index, h), sizes.select("target", F.lit(0.0).alias("fpr")), CUTOFF)], FILTER, 1.0))
     return matching.hierarchy(h, levels, ["read"])
 
 
 def joi6_mates(spark: SparkSession, d: str) -> DataFrame:
     h = _read_hashes(spark, d, paired=True)
-    return matching.count_matches(h, _index(spark, d)[0], ["read"])
+    return matching.count_matches(h, matching.relevant(_index(spark, d)[0], h), ["read"])
 
 
 def snk4_unclassified(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +168,7 @@ def snk4_unclassified(spark: SparkSession, d: str) -> DataFrame:
 
 def snk7_stats(spark: SparkSession, d: str) -> DataFrame:
     h = _read_hashes(spark, d)
-    return matching.stats(h, matching.rel_filter(matching.rel_cutoff(matching.count_matches(h, _index(spark, d)[0], ["read"]), CUTOFF), FILTER, ["read"]), ["read"], "prefix")
+    return matching.stats(h, matching.rel_filter(matching.rel_cutoff(matching.count_matches(h, matching.relevant(_index(spark, d)[0], h), ["read"]), CUTOFF), FILTER, ["read"]), ["read"], "prefix")
 
 
 def win4_best(spark: SparkSession, d: str) -> DataFrame:

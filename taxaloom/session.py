@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build(cores: str = "*", partitions: int = 8, **extra: str) -> SparkSession:
@@ -44,6 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan whose few splits would leave cores idle in costly work, over all cores.
+
+    For plain scans in front of Python work. Large inputs have more splits than cores and
+    are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 class Scratch:
     """Tables written to the shared folder to cut the lineage of iterative plans.
 
@@ -62,6 +73,12 @@ class Scratch:
         df.write.mode("error").option("compression", "zstd").parquet(path)
         return path
 
+    def cut_and_count(self, df: DataFrame, condition: Column) -> tuple[DataFrame, str, int]:
+        """As `cut`, with the number of rows that meet the condition, counted on the way."""
+        seen = Observation()
+        out, path = self.cut(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
+        return out, path, int(seen.get["n"])
+
     def cut(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = self.write(df)
         return self.spark.read.schema(df.schema).parquet(path), path
