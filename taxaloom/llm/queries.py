@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.versions import latest_versions
 from ..plans.tables import table
+from ..session import spread
 from . import bpe, cooccurrence, leakage, topk, truncation
 
 BEST = 3
@@ -39,18 +40,20 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", bpe.encode(spark, F.col("text")).alias("ids"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", bpe.encode(spark, F.col("text")).alias("ids"))
 
 
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Ids per document and whether decoding them gives back the text."""
-    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("ids", bpe.encode(spark, F.col("text")))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("ids", bpe.encode(spark, F.col("text")))
     back = bpe.decoder(spark)(F.col("ids"))
     return docs.select("doc_id", F.size("ids").alias("n_ids"), (back == F.coalesce("text", F.lit(""))).alias("same_text"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return leakage.leaked(docs, table(spark, d, "eval_items"))
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:

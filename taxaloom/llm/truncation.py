@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Bounds of the fit: texts that are sampled, cuts that are made of each, weights.
 SAMPLE_TEXTS, CUTS, BITS = 6_000, 6, 18
 #: Tasks that make the examples.
@@ -306,7 +308,7 @@ def scored(documents: DataFrame, **options) -> DataFrame:
             )
 
     kinds = ", ".join(f"{w}: double" for w in ("none", "at", "over", "close", "far"))
-    rows = docs.select("doc_id", "source", "text", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes")).mapInArrow(
+    rows = spread(docs).select("doc_id", "source", "text", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes")).mapInArrow(
         score, f"doc_id bigint, source string, n_chars int, n_bytes int, plain double, extra struct<{kinds}>"
     )
     # only scores and lengths are joined with the limits, never the texts
