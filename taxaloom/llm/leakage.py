@@ -27,6 +27,7 @@ many items there are.
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -56,13 +57,11 @@ LOST = "�"
 
 _TIME = re.compile(r"^(?:[ \t]*\d+[ \t]*\n)?[^\n]*\d[ \t]*-{1,2}>[^\n]*$", re.M)
 _NUMBER = re.compile(r"(?:\A|(?<=\n))\s*\d+[ \t]*(?=\n|\Z)")
-_ENTITY = re.compile(r"&(?:lt|gt|amp|quot|nbsp|#\d+);")
 _TAG = re.compile(r"<[^<>\n]{0,200}>|\{[^{}\n]{0,200}\}")
 _SOUND = re.compile(r"\[[^\[\]]{0,120}\]|\((?:(?!\n\n)[^()]){0,120}\)|\*[^*\n]{1,120}\*")
 _LABEL = re.compile(r"(?<![^\W_])[^\W\d_a-z][^\Wa-z_]+(?:[ .][^\Wa-z_]+){0,2}:(?=\s)")
 _WORD = re.compile(r"[^\W_]+" + f"(?:{LOST}+[^\\W_]*)*|{LOST}+[^\\W_]+(?:{LOST}+[^\\W_]*)*")
 _TWICE = re.compile("[\xc2-\xc5][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&amp;": "&", "&quot;": '"', "&nbsp;": " "}
 
 
 def _once(m: re.Match[str]) -> str:
@@ -80,8 +79,9 @@ def plain(text: str) -> str:
         if not _TWICE.search(text):
             break
         text = _TWICE.sub(_once, text)
-    if "&" in text:
-        text = _ENTITY.sub(lambda m: _ENTITIES.get(m.group(), " "), text)
+    for _ in range(2):  # entities, up to twice escaped
+        if "&" in text:
+            text = html.unescape(text)
     if "->" in text:
         text = _TIME.sub("", text)
     text = _NUMBER.sub("", text)

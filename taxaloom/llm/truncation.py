@@ -218,7 +218,7 @@ def _examples(bits: int, seed: int):
         for batch in batches:
             marks, rows = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                r = random.Random(seed * 1_000_003 + doc)
+                r = random.Random(seed * 1_000_003 + (doc or 0))
                 for cut, label, atlimit in cuts(text, r):
                     base = features(cut)
                     where = "at" if atlimit else r.choice(["far", "far", "far", "close", "none"])
@@ -280,7 +280,7 @@ def scored(documents: DataFrame, **options) -> DataFrame:
     """`doc_id, source, score`: for every document the probability that its text was cut.
 
     Null, empty and blank texts were not cut and score 0. Texts are read whole. Sources
-    may be null. Documents with equal ids are scored apart.
+    and ids may be null. Documents with equal ids are scored apart.
     """
     spark = documents.sparkSession
     bits = options.get("bits", BITS)

@@ -37,9 +37,10 @@ def test_forms_of_one_passage(spark):
         (10, cue(chunks([x if i % 5 else "thing" for i, x in enumerate(w)]))),
         (11, cue(chunks(OTHER.encode().decode("latin-1").split(), 4))),
         (12, cue(chunks(OTHER.encode("latin-1").decode("utf-8", "replace").split(), 4))),
+        (17, cue(chunks(OTHER.replace("ú", "&#250;").replace("ó", "&amp;oacute;").replace("un ", "&lt;i&gt;un&lt;/i&gt; ").split(), 4))),
         (13, None), (14, ""), (15, "words " * 50_000 + ITEM), (15, ITEM), (16, " ".join(reversed(w))),
     ]
-    assert found(spark, docs) == {(i, 1) for i in (1, 2, 3, 4, 5, 6, 7, 9, 15)} | {(11, 2), (12, 2)}
+    assert found(spark, docs) == {(i, 1) for i in (1, 2, 3, 4, 5, 6, 7, 9, 15)} | {(11, 2), (12, 2), (17, 2)}
 
 
 def test_blocks_of_items_and_empty_tables(spark):
