@@ -22,25 +22,18 @@ def latest_versions(df: DataFrame, key: str, version: str, words: int = WORDS) -
     repeated ones and chance hits) are settled by a mergeable maximum per key. A table
     in which every key repeats sends all rows that way, which is slower and still right.
     """
-    k = F.col(f"`{key}`")
-    h = F.pmod(F.xxhash64(k), F.lit(words * 64))
-    bit = F.expr("shiftleft(1L, cast(__h % 64 as int))")
-    again = df.filter(k.isNotNull()).groupBy(k.alias("__k")).agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") > 1)
-    flags = (
-        again.select(F.pmod(F.xxhash64("__k"), F.lit(words * 64)).alias("__h"))
-        .select(F.floor(F.col("__h") / 64).alias("__word"), bit.alias("__bit"))
-        .groupBy("__word")
-        .agg(F.bit_or("__bit").alias("__bits"))
-    )
     names = df.columns
-    tagged = df.withColumn("__h", h).withColumn("__w", F.floor(F.col("__h") / 64))
-    tagged = tagged.join(F.broadcast(flags), F.col("__w") == F.col("__word"), "left")
-    hit = F.col("__bits").isNotNull() & (F.col("__bits").bitwiseAND(bit) != 0)
-    tagged = tagged.withColumn("__hit", hit & k.isNotNull())
-    once = tagged.filter(~F.col("__hit")).select(*[F.col(f"`{c}`") for c in names])
-    rest = [F.col(f"`{version}`"), *[F.col(f"`{c}`") for c in names if c not in (key, version)]]
-    order = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(rest)])
-    top = tagged.filter("__hit").groupBy(k.alias("__k")).agg(F.max(order).alias("__top"))
-    at = {version: 0} | {c: i + 1 for i, c in enumerate(c for c in names if c not in (key, version))}
-    latest = top.select(*[(F.col("__k") if c == key else F.col(f"__top.c{at[c]}")).alias(c) for c in names])
-    return once.unionByName(latest)
+    cols = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
+    rows = df.toDF(*cols)
+    k, v = cols[names.index(key)], cols[names.index(version)]
+    place = F.pmod(F.xxhash64(k), F.lit(words * 64))
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    again = rows.filter(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    flags = again.select(place.alias("place")).select(F.floor(F.col("place") / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    tagged = rows.withColumn("place", place).withColumn("at", F.floor(F.col("place") / 64)).join(F.broadcast(flags), F.col("at") == F.col("word"), "left")
+    tagged = tagged.withColumn("hit", F.col("bits").isNotNull() & (F.col("bits").bitwiseAND(bit) != 0) & F.col(k).isNotNull())
+    once = tagged.filter(~F.col("hit")).select(*cols)
+    order = [v, *[c for c in cols if c not in (k, v)]]
+    top = tagged.filter("hit").groupBy(k).agg(F.max(F.struct(*order)).alias("top"))
+    latest = top.select(*[F.col(c) if c == k else F.col(f"top.{c}") for c in cols])
+    return once.unionByName(latest).toDF(*names)

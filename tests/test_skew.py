@@ -50,3 +50,9 @@ def test_latest_versions(spark, data):
         want.append(max((x for x in data if x[0] == i), key=lambda x: (x[1] is not None, x[1] or 0, x[2])))
     for words in (1, 1 << 10):
         assert rows(latest_versions(df, "id", "at", words)) == sorted(want, key=repr)
+
+
+def test_latest_versions_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, 1, "a", 0), (1, 2, "b", 0), (2, 1, None, 5)], "place long, at int, bits string, hit int")
+    assert rows(latest_versions(df, "place", "at")) == [(1, 2, "b", 0), (2, 1, None, 5)]
+    assert latest_versions(df.limit(0), "place", "at").count() == 0
