@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TAX = "node string, parent string, rank string, name string, genome_size bigint"
@@ -85,6 +85,61 @@ def read_assembly_summary(spark: SparkSession, path: str | list[str], known: Dat
     return got if known is None else got.join(known.select("accession").distinct(), "accession", "left_semi")
 
 
+def read_assemblies(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The columns of an assembly summary by which genomes are chosen: `accession,
+    category, node, species, level, group, url`."""
+    cols = [f"c{i} string" for i in range(25)]
+    rows = spark.read.csv(path, sep="\t", comment="#", schema=", ".join(cols), quote="")
+    at = {"accession": 0, "category": 4, "node": 5, "species": 6, "level": 11, "url": 19, "group": 24}
+    return rows.select(*[F.col(f"c{i}").alias(n) for n, i in at.items()])
+
+
+def select_assemblies(
+    rows: DataFrame,
+    groups: list[str] | None = None,
+    nodes: DataFrame | None = None,
+    complete: bool = False,
+    reference: bool = False,
+    top: int = 0,
+) -> DataFrame:
+    """The choice of genomes that a download makes, over local summaries: by organism
+    groups or by nodes (column node, with their descendants), complete and reference
+    genomes, and the first `top` of each species (reference, then complete, then
+    accession). Null fields never match a filter."""
+    if groups and nodes is not None:
+        raise ValueError("groups and nodes exclude each other")
+    if groups:
+        rows = rows.filter(F.col("group").isin(groups))
+    if nodes is not None:
+        rows = rows.join(nodes.select("node").distinct(), "node", "left_semi")
+    is_complete = F.coalesce(F.col("level") == "Complete Genome", F.lit(False))
+    is_reference = F.coalesce(F.lower("category").isin("reference genome", "representative genome"), F.lit(False))
+    if complete:
+        rows = rows.filter(is_complete)
+    if reference:
+        rows = rows.filter(is_reference)
+    if top:
+        w = Window.partitionBy("species").orderBy(is_reference.desc(), is_complete.desc(), "accession")
+        rows = rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= top).drop("__r")
+    return rows
+
+
+def sizes_from_lineages(rows: DataFrame) -> DataFrame:
+    """`node, genome_size`: the whole-number mean size per last rank of `lineage,
+    genome_size` rows."""
+    node = F.element_at(F.split("lineage", ";"), -1)
+    return rows.filter(F.col("lineage").isNotNull()).groupBy(node.alias("node")).agg(F.floor(F.avg("genome_size")).alias("genome_size"))
+
+
+def fill_lookups(info: DataFrame, found: DataFrame, columns: list[str], missing: str = "na") -> DataFrame:
+    """The join of a record lookup over local results: every row of `info` with the found
+    `columns` by accession, `missing` where there is none. Of several results of one
+    accession the least row is taken."""
+    least = found.groupBy(F.col("accession").alias("__a")).agg(F.min(F.struct(*columns)).alias("__f"))
+    rows = info.join(least, F.col("accession") == F.col("__a"), "left")
+    return rows.select(*[c for c in info.columns if c not in columns], *[F.coalesce(F.col(f"__f.{c}").cast("string"), F.lit(missing)).alias(c) for c in columns])
+
+
 def write_tsv(df: DataFrame, path: str, sep: str = "\t", single: bool = False, partition_by: list[str] | None = None) -> None:
     """Fields are written as they are. `single` is for reports, whose rows are taxa."""
     w = (df.coalesce(1) if single else df).write.mode("overwrite").option("sep", sep).option("quote", "").option("emptyValue", "")

@@ -216,3 +216,23 @@ def test_specializations_and_levels(spark, line):
     assert {(x["node"], x["parent"], x["genome_size"]) for x in built.filter("rank = 'specialization'").collect()} == {("t1", "A", 5), ("t2", "B", 5), ("t3", "B", 5), ("s4", "C", 5)}
     assert {tuple(x) for x in taxonomy.user_bins(info, "genus", line).collect()} == {("t1", "AB"), ("t2", "AB"), ("t3", "AB"), ("t4", "C")}
     assert taxonomy.collisions(info.withColumn("target", F.lit("A")), tax).count() == 1
+
+
+def test_choice_of_genomes(spark, tmp_path):
+    def row(acc, cat, node, species, level, group):
+        f = [""] * 25
+        f[0], f[4], f[5], f[6], f[11], f[24] = acc, cat, node, species, level, group
+        return "\t".join(f)
+
+    (tmp_path / "s.txt").write_text("# x\n" + "\n".join([row("G1", "na", "n1", "sp", "Scaffold", "bacteria"), row("G2", "reference genome", "n2", "sp", "Scaffold", "bacteria"), row("G3", "na", "n3", "sp", "Complete Genome", "fungi"), row("G4", "na", "n4", "sq", "Contig", "fungi")]) + "\n")
+    rows = io.read_assemblies(spark, str(tmp_path / "s.txt"))
+    pick = lambda **k: {x["accession"] for x in io.select_assemblies(rows, **k).collect()}
+    assert pick() == {"G1", "G2", "G3", "G4"} and pick(groups=["fungi"]) == {"G3", "G4"}
+    assert pick(complete=True) == {"G3"} and pick(reference=True) == {"G2"} and pick(top=1) == {"G2", "G4"}
+    assert pick(nodes=spark.createDataFrame([("n1",), ("n1",)], "node string")) == {"G1"}
+    with pytest.raises(ValueError):
+        pick(groups=["x"], nodes=rows)
+    got = io.fill_lookups(rows.select("accession", "node"), spark.createDataFrame([("G1", "7"), ("G1", "8")], "accession string, node string"), ["node"])
+    assert {tuple(x) for x in got.collect()} == {("G1", "7"), ("G2", "na"), ("G3", "na"), ("G4", "na")}
+    sizes = spark.createDataFrame([("d;s__A", 10), ("d;s__A", 13), (None, 5)], "lineage string, genome_size long")
+    assert [tuple(x) for x in io.sizes_from_lineages(sizes).collect()] == [("s__A", 11)]
