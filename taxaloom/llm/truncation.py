@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
+from .leakage import fold
 
 #: Bounds of the fit: texts that are sampled, cuts that are made of each, weights.
 SAMPLE_TEXTS, CUTS, BITS = 6_000, 6, 18
@@ -43,6 +44,7 @@ _MARK = re.compile(r"\s*(?:\[(?:\.{2,}|…)\]|\((?:\.{2,}|…)\)|\.{2,}|…|‥+
 _OPEN_TAG = re.compile(r"<[^<>]*$|\{[^{}]*$|&[a-z]{0,4}$|&lt;(?:(?!&gt;).)*$", re.S)
 _TAGS = re.compile(r"<(/?)([a-zA-Z]+)[^<>]*>|&lt;(/?)([a-zA-Z]+)(?:(?!&gt;).)*?&gt;")
 _WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[^\w\s]")
+_ENDS = tuple(".?!。？！…♪])")
 _STRIP = re.compile(r"<[^<>]*>|\{[^{}]*\}|&lt;.*?&gt;")
 
 
@@ -116,11 +118,11 @@ def features(text: str) -> list[str]:
     pairs += "".join(c for c in "♪#*\"" if said.count(c) % 2)
     bare = _STRIP.sub("", kept).strip()
     words = _WORDS.findall(bare[-160:].lower())
-    words = [re.sub(r"\d+", "0", w) for w in words]
+    words = ["0" if w.isdigit() else fold(w) if w[0].isalnum() else w for w in words]  # damaged letters are read as they were
     end = _char(kept[-1]) if kept else "-"
     shape = "".join(_char(c) for c in kept[-3:])
     plain = [w for w in words if w[0].isalnum()]
-    first = " ".join(w for w in _WORDS.findall(bare[:60].lower())[:2])
+    first = " ".join(fold(w) for w in _WORDS.findall(bare[:60].lower())[:2])
     since = 0
     for w in reversed(words):
         if w in ".?!。？！…":
@@ -200,14 +202,16 @@ def cuts(text: str, r: random.Random, n: int = CUTS) -> list[tuple[str, int, boo
     for _ in range(n):
         at = r.randrange(60, len(body))
         done = _finished(body, at)
+        if not done and body[:at].rstrip()[-1:] in _ENDS:
+            continue  # a whole sentence within a cue: neither finished nor visibly cut
         atlimit = r.random() < 0.5
         out.append((body[:at] if atlimit else _spoil(body[:at], r), 0 if done else 1, atlimit))
-    for _ in range(n):
+    for _ in range(n + 4):
         if breaks:
             at = r.choice(breaks)
-            atlimit = r.random() < 0.03  # by chance only
+            atlimit = r.random() < 0.005  # by chance only
             whole = body[:at]
-            if r.random() < 0.4:  # a finished cue may end in any character
+            if r.random() < 0.5:  # a finished cue may end in any character
                 whole = whole.rstrip(".?!。？！") + r.choice(["...", "…", "—", " —", "-", "--", "", "", ",", "�"])
             out.append((whole + r.choice(["", "", "\n", "\n\n", "\n\n", " "]), 0, atlimit))
     return out
@@ -235,7 +239,7 @@ def fit(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS, bits: int = BITS
     The sample is the `sample_texts` texts with the least hash of their id, of those
     below a bound on the hash that leaves about three times as many, so that the one task
     that picks them reads a bounded number. The driver holds at most
-    `sample_texts * 2 * CUTS` rows of about 40 numbers each.
+    `sample_texts * (2 * CUTS + 4)` rows of about 40 numbers each.
     """
     share = min(1.0, 3 * sample_texts / max(1, documents.count()))
     at = F.xxhash64("doc_id")
