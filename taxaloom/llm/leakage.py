@@ -61,7 +61,16 @@ _TAG = re.compile(r"<[^<>\n]{0,200}>|\{[^{}\n]{0,200}\}")
 _SOUND = re.compile(r"\[[^\[\]]{0,120}\]|\((?:(?!\n\n)[^()]){0,120}\)|\*[^*\n]{1,120}\*")
 _LABEL = re.compile(r"(?<![^\W_])[^\W\d_a-z][^\Wa-z_]+(?:[ .][^\Wa-z_]+){0,2}:(?=\s)")
 _WORD = re.compile(r"[^\W_]+" + f"(?:{LOST}+[^\\W_]*)*|{LOST}+[^\\W_]+(?:{LOST}+[^\\W_]*)*")
-_TWICE = re.compile("[\xc2-\xc5][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+_TAIL = "[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+_MISREAD = f"(?:[\xc2-\xdf]{_TAIL}|[\xe0-\xef]{_TAIL}{{2}}|[\xf0-\xf4]{_TAIL}{{3}})"
+#: UTF-8 characters read as Latin-1 or cp1252: runs of any lead byte, and single ones whose
+#: lead is no letter that a word may well end in before a quote or dash (`naß—`, `É…`, `é »`).
+_TWICE = re.compile(
+    f"{_MISREAD}{{2,}}|[\xc2-\xc5\xce-\xd1\xd7-\xd9]{_TAIL}|\xc6[\xa0\xa1\xaf\xb0]|\xc8[\x98-\x9b˜™š›]"
+    f"|[\xe2\xef]{_TAIL}{{2}}|\xe1[\xba\xbb]{_TAIL}|(?<![^\\W\\d_])[\xe1\xe3-\xe7\xea-\xee]{_TAIL}{{2}}|[\xf0-\xf4]{_TAIL}{{3}}"
+)
+_ONE = re.compile(_MISREAD)
+_LEAD = re.compile(f"[\xc2-\xf4]{_TAIL}")
 
 
 def _once(m: re.Match[str]) -> str:
@@ -72,13 +81,17 @@ def _once(m: re.Match[str]) -> str:
         return m.group()
 
 
+def _repaired(m: re.Match[str]) -> str:
+    return _ONE.sub(_once, m.group())
+
+
 def plain(text: str) -> str:
     """The spoken text: without numbering, times, markup, labels and sounds."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     for _ in range(3):  # UTF-8 read as a one-byte code, up to three times
-        if not _TWICE.search(text):
+        if text.isascii() or not _LEAD.search(text):
             break
-        text = _TWICE.sub(_once, text)
+        text = _TWICE.sub(_repaired, text)
     for _ in range(2):  # entities, up to twice escaped
         if "&" in text:
             text = html.unescape(text)

@@ -43,6 +43,36 @@ def test_forms_of_one_passage(spark):
     assert found(spark, docs) == {(i, 1) for i in (1, 2, 3, 4, 5, 6, 7, 9, 15)} | {(11, 2), (12, 2), (17, 2)}
 
 
+def misread(text, code="latin-1"):
+    return "".join(bytes([b]).decode(code, "ignore") or chr(b) for b in text.encode())
+
+
+def test_misread_notes_and_dashes(spark):
+    w = ITEM.split()
+    notes = [f"♪ {c} ♪" for c in chunks(w, 4)]
+    dashed = [x + "—" if i % 5 == 3 else x for i, x in enumerate(w)]
+    docs = [
+        (1, cue([misread(c) for c in notes])),
+        (2, cue([misread(c, "cp1252") for c in notes])),
+        (3, cue([misread(c) for c in chunks(dashed)])),
+        (4, cue([misread(misread(c, "cp1252"), "cp1252") for c in chunks(dashed)])),
+        (5, cue([misread("“" + c + "…”", "cp1252") for c in chunks(w)])),
+    ]
+    assert found(spark, docs) == {(i, 1) for i in range(1, 6)}
+
+
+@pytest.mark.parametrize("text", ["привет, я", "東京、です", "Việt București", "👍 naïve", "“yes” — no…", "Σ λόγος"])
+@pytest.mark.parametrize("code", ["latin-1", "cp1252"])
+def test_misread_letters_of_any_length_come_back(text, code):
+    assert L.plain(misread(text, code)) == text
+    assert L.plain(misread(misread(text, code), code)) == text
+
+
+@pytest.mark.parametrize("text", ["naß—", "É… sim", "« café\xa0»", "CAFÉ”", "é…”", "POKÉ’s", "«À\xa0»", "irmã…”"])
+def test_right_letters_before_punctuation_stay(text):
+    assert L.plain(text) == text
+
+
 def test_blocks_of_items_and_empty_tables(spark):
     docs = [(1, ITEM), (2, OTHER)]
     assert found(spark, docs, block_chars=10) == {(1, 1), (2, 2)}
