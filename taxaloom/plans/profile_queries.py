@@ -68,7 +68,10 @@ def src15_genome_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def joi7_merge_taxonomies(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "tax").select("node", "parent", "rank", "name", "db_label")
-    parts = [t.filter(F.col("db_label") == x).drop("db_label") for x in ("fungal", "bacset", "envmix")]
+    first = ["fungal", "bacset", "envmix"]
+    found = [r[0] for r in t.select("db_label").distinct().collect()]  # the taxonomies' labels
+    labels = [*first, *sorted(x for x in found if x is not None and x not in first), None]
+    parts = [t.filter(F.col("db_label").eqNullSafe(F.lit(x))).drop("db_label") for x in labels]
     return taxonomy.merge_taxonomies(parts).select("node", "parent")
 
 

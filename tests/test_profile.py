@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxaloom.operators import report, resolve, table, taxonomy
+from taxaloom.plans import profile_queries
 from taxaloom.sources import tables as io
 
 TREE = [("1", "0", "root"), ("AB", "1", "genus"), ("A", "AB", "species"), ("B", "AB", "species"), ("C", "1", "species"), ("A1", "A", "strain"), ("A2", "A", "strain")]
@@ -44,6 +45,14 @@ def test_first_taxonomy_wins_and_orphans_are_added(spark):
     assert {(x["node"], x["parent"]) for x in taxonomy.attach_unreachable(m).collect()} == {("x", "1"), ("y", "1")}
 
 
+def test_all_labels_of_tax_are_merged(spark, tmp_path):
+    rows = [("a", "1", "fungal"), ("a", "0", "arcvir"), ("b", "2", "envmix"), ("c", "3", "arcvir"), ("c", "0", "new"), ("c", "0", None), ("d", "4", "new"), ("e", "5", None), (None, "6", None)]
+    df = spark.createDataFrame(rows, "node string, parent string, db_label string")
+    df.select("node", "parent", F.lit("r").alias("rank"), F.lit("n").alias("name"), "db_label").write.parquet(str(tmp_path / "tax.parquet"))
+    got = [tuple(x) for x in profile_queries.joi7_merge_taxonomies(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("e", "5")]
+
+
 def _loop_redistribute(rep, tips):
     rep = {t: list(v) for t, v in rep.items()}
     gain = {}
