@@ -136,11 +136,14 @@ def convert(nodes: DataFrame, mapping: DataFrame, lineage: DataFrame, key: str =
     """`target, node`: nodes translated to another taxonomy; several images of one node
     become their LCA there; nodes without an image become null.
 
-    nodes: `target, node`; mapping: `node, other`; lineage of the other taxonomy."""
+    nodes: `target, node`; mapping: `node, other`; lineage of the other taxonomy. Images
+    are brought together once per node, however many targets it has."""
     from .resolve import lca
 
-    images = nodes.select(key, "node").join(mapping, "node").select(key, F.col("other").alias("node"))
-    found = lca(images, lineage, [key], "node")
+    images = mapping.join(nodes.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("__k"), F.col("other").alias("node"))
+    one = lca(images, lineage, ["__k"], "node")
+    own = nodes.select(key, "node").join(one, F.col("node") == F.col("__k")).select(key, F.col("lca").alias("node"))
+    found = lca(own, lineage, [key], "node")
     return nodes.select(key).join(found, key, "left").select(key, F.col("lca").alias("node"))
 
 

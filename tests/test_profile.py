@@ -216,6 +216,25 @@ def test_conversion_takes_the_lca_of_images(spark, line):
     assert {tuple(x) for x in taxonomy.convert(nodes, mapping, line).collect()} == {("t1", "A"), ("t2", "C"), ("t3", None)}
 
 
+def test_conversion_maps_all_customers(spark, tmp_path):
+    frames = {
+        "region": spark.range(2).selectExpr("id AS r_regionkey", "'r' AS r_name"),
+        "nation": spark.range(4).selectExpr("id AS n_nationkey", "id % 2 AS n_regionkey", "'n' AS n_name"),
+        "customer": spark.range(1, 301).selectExpr("id AS c_custkey", "CASE WHEN id <= 120 THEN 0 WHEN id % 60 = 1 THEN 2 WHEN id % 60 = 2 THEN 1 ELSE 0 END AS c_nationkey", "'c' AS c_name"),
+        "supplier": spark.range(1, 53).selectExpr("id AS s_suppkey"),
+    }
+    for name, df in frames.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {x["target"]: x["node"] for x in profile_queries.tre11_convert(spark, str(tmp_path)).collect()}
+    assert got == {f"s{i}": {1: "r0", 2: "1"}.get(i % 50, "n0") for i in range(1, 53)}
+
+
+def test_conversion_of_targets_with_several_nodes(spark, line):
+    nodes = spark.createDataFrame([("t1", "x"), ("t1", "y"), ("t2", "x"), ("t3", "y"), ("t3", "none"), ("t4", "gone")], "target string, node string")
+    mapping = spark.createDataFrame([("x", "A1"), ("x", "A2"), ("y", "B"), ("y", "B"), ("gone", "q"), ("gone", "C")], "node string, other string")
+    assert {tuple(x) for x in taxonomy.convert(nodes, mapping, line).collect()} == {("t1", "AB"), ("t2", "A"), ("t3", "B"), ("t4", "1")}
+
+
 def test_specializations_and_levels(spark, line):
     info = spark.createDataFrame([("t1", "A", "s1", "S one"), ("t2", "B", "s1", None), ("t3", "B", None, None), ("t4", "C", "s4", "four")], "target string, node string, specialization string, specialization_name string")
     ok = taxonomy.validate_specializations(info)
