@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
+from . import forest
 
 ROOT = "1"
+#: No parent ends a chain by its name here; only absent and null ones do.
+NO_END = "\0"
 
 
 def merge_taxonomies(parts: list[DataFrame]) -> DataFrame:
@@ -38,10 +41,21 @@ def add_orphans(tax: DataFrame, targets: DataFrame, root: str = ROOT, rank: str
 
 
 def attach_unreachable(tax: DataFrame, root: str = ROOT) -> DataFrame:
-    """Nodes whose parent is unknown hang below the root."""
-    known = tax.select(F.col("node").alias("__p")).distinct()
-    rows = tax.join(known, F.col("parent") == F.col("__p"), "left")
-    return rows.withColumn("parent", F.when(F.col("node") == root, F.col("parent")).otherwise(F.coalesce("__p", F.lit(root)))).drop("__p")
+    """Nodes whose parent is unknown hang below the root, and so does the smallest node of
+    every loop of parents. Of several parents of a node the smallest is taken."""
+    pointers = tax.select("node", F.when(F.col("node") != root, F.col("parent")).alias("parent"))
+    cuts = forest.looped(forest.solve(pointers, end=NO_END)).select(F.col("loop_node").alias("__c")).distinct()
+    one = forest.edges(pointers, end=NO_END).select(F.col("node").alias("__n"), F.col("parent").alias("__p"))
+    rows = tax.join(one, F.col("node") == F.col("__n"), "left").join(cuts, F.col("node") == F.col("__c"), "left")
+    above = F.when(F.col("__c").isNull(), F.coalesce("__p", F.lit(root))).otherwise(F.lit(root))
+    return rows.withColumn("parent", F.when(F.col("node") == root, F.col("parent")).otherwise(above)).drop("__n", "__p", "__c")
+
+
+def rooted(tax: DataFrame, root: str = ROOT) -> DataFrame:
+    """The taxonomy with all nodes below the root, which is added if it has no row."""
+    row = tax.sparkSession.createDataFrame([(root, "0", "root", "root")], "node string, parent string, rank string, name string")
+    missing = row.join(tax.select("node"), "node", "left_anti")
+    return attach_unreachable(tax, root).unionByName(missing, allowMissingColumns=True)
 
 
 def lineages(tax: DataFrame, root: str = ROOT) -> DataFrame:

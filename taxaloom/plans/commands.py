@@ -76,7 +76,7 @@ def build_custom(spark: SparkSession, info: DataFrame, seqs: DataFrame, out: str
         rows = prepare_info(info, tax, o)
         rows.write.mode("overwrite").parquet(f"{out}/info")
         if tax is not None:
-            full = taxonomy.build_tax(tax, rows, o.level)
+            full = Scratch(spark, "tax").cut(taxonomy.rooted(taxonomy.build_tax(tax, rows, o.level)))[0]
             line = taxonomy.kept_lineages(full)
             used = taxonomy.user_bins(rows, o.level, line).select(F.col("bin").alias("node"))
             kept = taxonomy.keep_with_ancestors(line, used).select("node")
@@ -85,7 +85,7 @@ def build_custom(spark: SparkSession, info: DataFrame, seqs: DataFrame, out: str
         at.mark("parse")
     if not at.done("run"):
         rows = spark.read.parquet(f"{out}/info")
-        line = taxonomy.kept_lineages(spark.read.parquet(f"{out}/tax")) if at.has("tax") else None
+        line = taxonomy.kept_lineages(taxonomy.rooted(spark.read.parquet(f"{out}/tax"))) if at.has("tax") else None
         bins = taxonomy.user_bins(rows, o.level, line)
         on = "target" if "target" in seqs.columns else "file"
         named = seqs.join(rows.join(bins, "target").select(F.col(on).alias("__on"), "bin", *(["target"] if on == "file" else [])), F.col(on) == F.col("__on"))
@@ -146,7 +146,7 @@ def classify(spark: SparkSession, reads: DataFrame, levels: list[opt.Level], out
     group = [*key, "id", "hierarchy"]
     if o.multiple_matches == "lca":
         targets = matches.select("target").distinct()
-        tax = taxonomy.attach_unreachable(taxonomy.add_orphans(taxonomy.merge_taxonomies(taxes), targets), o.root) if taxes else None
+        tax = taxonomy.rooted(taxonomy.add_orphans(taxonomy.merge_taxonomies(taxes), targets), o.root) if taxes else None
         if tax is None:
             raise ValueError("lca needs databases with a taxonomy")
         resolved = resolve.resolve(matches, group, "lca", taxonomy.kept_lineages(tax, o.root), o.root)
@@ -215,7 +215,7 @@ def report(rep: DataFrame, totals: DataFrame, tax: DataFrame, o: opt.Report | No
         totals = totals.withColumn("unclassified", F.lit(0).cast("bigint"))
     known = tax.select("node", "parent", "rank", "name")
     orphans = body.select(F.col("target").alias("node")).join(known.select("node"), "node", "left_anti")
-    line = taxonomy.kept_lineages(taxonomy.add_orphans(known, body.select("target"), root, "na"), root)
+    line = taxonomy.kept_lineages(taxonomy.rooted(taxonomy.add_orphans(known, body.select("target"), root, "na"), root), root)
     if o.report_type in ("abundance", "corr") and sizes is None:
         given = taxonomy.genome_sizes(tax).filter("genome_size > 0") if "genome_size" in tax.columns else None
         sizes = taxonomy.estimate_genome_sizes(line, given, line.select("node")) if given is not None else line.select("node", F.lit(1).alias("genome_size"))

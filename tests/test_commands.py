@@ -63,6 +63,30 @@ def test_report_of_a_run(spark, db, tmp_path):
     assert commands.table(tre, options.Table(no_root=True)).agg(F.sum("s")).first()[0] == 7
 
 
+BROKEN = [("1", "0", "root"), ("G", "absent", "genus"), ("S1", "G", "species"), ("N", None, "species"), ("B", "C", "genus"), ("C", "B", "genus"), ("S2", "C", "species"), ("I", "I", "species"), ("T", "0", "species")]
+
+
+@pytest.mark.parametrize("has_root", [True, False])
+def test_report_counts_what_the_root_does_not_reach(spark, has_root):
+    tax = spark.createDataFrame([(n, p, r, n) for n, p, r in BROKEN if has_root or n != "1"], "node string, parent string, rank string, name string")
+    counts = {"S1": 1, "N": 2, "S2": 4, "I": 8, "T": 16, "new": 32}
+    rep = spark.createDataFrame([("H", t, n, n, 0) for t, n in counts.items()], "hierarchy string, target string, matches long, unique long, lca long")
+    tot = spark.createDataFrame([(63, 0)], "classified long, unclassified long")
+    for kind in ("reads", "matches"):
+        rows = {x["target"]: (x["lineage"], x["cumulative"]) for x in commands.report(rep, tot, tax, options.Report(kind, ranks=None)).collect()}
+        assert rows == {"1": ("1", 63), "G": ("1|G", 1), "S1": ("1|G|S1", 1), "N": ("1|N", 2), "B": ("1|B", 4), "C": ("1|B|C", 4), "S2": ("1|B|C|S2", 4), "I": ("1|I", 8), "T": ("1|T", 16), "new": ("1|new", 32)}
+
+
+def test_build_keeps_what_the_root_does_not_reach(spark, tmp_path):
+    tax = spark.createDataFrame([(n, p, r, n, 0) for n, p, r in BROKEN], "node string, parent string, rank string, name string, genome_size long")
+    info = spark.createDataFrame([("f1", "t1", "S1", None, None), ("f2", "t2", "S2", None, None), ("f3", "t3", "I", None, None)], "file string, target string, node string, specialization string, specialization_name string")
+    seqs = spark.createDataFrame([(f"f{t[1]}", s) for t, s in DNA.items()], "file string, seq string")
+    out = str(tmp_path / "db")
+    commands.build_custom(spark, info, seqs, out, tax, options.Build(kmer=11, window=15, partitions=2, hash_functions=0))
+    got = {(x["node"], x["parent"]) for x in spark.read.parquet(f"{out}/tax").collect()}
+    assert got == {("1", "0"), ("G", "1"), ("S1", "G"), ("t1", "S1"), ("B", "1"), ("C", "B"), ("S2", "C"), ("t2", "S2"), ("I", "1"), ("t3", "I")}
+
+
 def test_update_replays_the_options(spark, db, tmp_path):
     old, info, seqs, tax = db
     more = spark.createDataFrame([("f4", "t4", "S3")], "file string, target string, node string")
