@@ -1,9 +1,9 @@
 """Taxonomy operators on an edge list: lineages, closures, ancestors, leaves, conversion.
 
 A taxonomy is `node, parent, rank, name[, genome_size]`. Its lineage table, one row per
-node with root-first arrays, is made once per query by a recursive query (each level is
-one equi-join) and every operator below is a projection, an explode or a join on it.
-Taxonomies of unknown depth, with loops, go through `forest.solve` instead.
+node with root-first arrays, is made once per query by doubling joins over written tables
+(each round is one equi-join) and every operator below is a projection, an explode or a
+join on it. Size and depth have no limit of their own.
 """
 
 from __future__ import annotations
@@ -59,27 +59,33 @@ def rooted(tax: DataFrame, root: str = ROOT) -> DataFrame:
 
 
 def lineages(tax: DataFrame, root: str = ROOT) -> DataFrame:
-    """`node, rank, name, depth, path, ranks, names`, arrays root first. The root has
-    depth 0. Nodes that the root does not reach have no row."""
-    tax.createOrReplaceTempView("__taxaloom_tax")
-    got = tax.sparkSession.sql(
-        """
-        WITH RECURSIVE line(node, rank, name, depth, path, ranks, names) AS (
-          SELECT node, rank, name, 0, array(node), array(rank), array(name) FROM __taxaloom_tax WHERE node = :root
-          UNION ALL
-          SELECT t.node, t.rank, t.name, l.depth + 1, concat(l.path, array(t.node)), concat(l.ranks, array(t.rank)), concat(l.names, array(t.name))
-          FROM line l JOIN __taxaloom_tax t ON t.parent = l.node AND t.node <> :root
-        )
-        SELECT * FROM line
-        """,
-        {"root": root},
-    )
-    return got
+    """`node, rank, name, depth, path, ranks, names`, arrays root first, one row per node,
+    read from a table in the shared folder. The root has depth 0. Nodes that the root does
+    not reach have no row. Repeated nodes take their smallest parent (and row).
+
+    Round after round each node takes over the line of where its own line stands, so r
+    rounds cover 2**r parents, whatever the size or depth. A round that changes no node
+    leaves only loops."""
+    scratch = Scratch(tax.sparkSession, "lineage")
+    up = F.when(F.col("node") != root, F.col("parent"))
+    one = tax.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(up.isNull().alias("none"), up.alias("at"), "rank", "name")).alias("f"))
+    start = one.select("node", "f.at", F.array(F.struct("node", "f.rank", "f.name")).alias("line")).filter(F.col("at").isNotNull() | (F.col("node") == root))
+    state, path, left = scratch.cut_and_count(start, F.col("at").isNotNull())
+    before = -1
+    while left and left != before:
+        other = state.select(F.col("node").alias("__n"), F.col("at").alias("__at"), F.col("line").alias("__line"))
+        moved = state.filter(F.col("at").isNotNull()).join(other, F.col("at") == F.col("__n")).select("node", F.col("__at").alias("at"), F.concat("line", "__line").alias("line"))
+        last, before = path, left
+        state, path, left = scratch.cut_and_count(state.filter(F.col("at").isNull()).unionByName(moved), F.col("at").isNotNull())
+        scratch.drop(last)
+    own = F.get("line", F.lit(0))
+    arrays = [F.reverse(F.col(f"line.{c}")).alias(n) for c, n in (("node", "path"), ("rank", "ranks"), ("name", "names"))]
+    return state.filter(F.col("at").isNull()).select("node", own["rank"].alias("rank"), own["name"].alias("name"), (F.size("line") - 1).alias("depth"), *arrays)
 
 
 def kept_lineages(tax: DataFrame, root: str = ROOT) -> DataFrame:
-    """As `lineages`, written to the shared folder once, for plans that read it often."""
-    return Scratch(tax.sparkSession, "lineage").cut(lineages(tax, root))[0]
+    """As `lineages`, for plans that read it often: it is a written table already."""
+    return lineages(tax, root)
 
 
 def closure(lineage: DataFrame) -> DataFrame:

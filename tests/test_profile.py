@@ -29,6 +29,19 @@ def test_lineages_and_ancestors(spark, line):
     assert {x["node"] for x in taxonomy.keep_with_ancestors(line, few).collect()} == {"1", "AB", "A", "A1"}
 
 
+def test_lineages_have_no_limit_of_depth(spark):
+    deep = [("1", "1", "root")] + [(f"d{i}", f"d{i - 1}" if i else "1", f"r{i}") for i in range(150)]
+    off = [("x", "y", "s"), ("y", "x", "s"), ("z", "x", "s"), ("q", "gone", "s"), ("p", "q", "s"), ("n", None, "s"), ("m", "n", "s"), (None, "1", "s"), ("d0", "1", "r9"), ("d0", None, "a")]
+    tax = spark.createDataFrame([(n, p, r, f"name {n}") for n, p, r in deep + off], "node string, parent string, rank string, name string")
+    got = {x["node"]: x for x in taxonomy.lineages(tax).collect()}
+    path = [n for n, _, _ in deep]
+    assert set(got) == set(path)
+    for i, n in enumerate(path):
+        assert (got[n]["depth"], got[n]["path"], got[n]["ranks"]) == (i, path[: i + 1], [r for _, _, r in deep[: i + 1]])
+        assert got[n]["rank"] == deep[i][2] and got[n]["names"][-1] == got[n]["name"] == f"name {n}"
+    assert taxonomy.lineages(tax.filter("node <> '1'")).count() == 0
+
+
 @pytest.mark.parametrize("nodes,want", [(["A1", "A2"], "A"), (["A1", "B", "A2"], "AB"), (["A", "A1"], "A"), (["A1", "C"], "1"), (["A1", "gone"], "1"), (["B"], "B")])
 def test_lca(spark, line, nodes, want):
     df = spark.createDataFrame([(7, n) for n in nodes + nodes[:1]], "read int, target string")
