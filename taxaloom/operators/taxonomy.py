@@ -140,7 +140,9 @@ def cumulative(counts: DataFrame, lineage: DataFrame, value: str = "n") -> DataF
 def estimate_genome_sizes(lineage: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
     """`node, genome_size` for the nodes and their ancestors: the whole-number mean of the
     known sizes of the leaves below; without any, that of the nearest ancestor with one;
-    without any at all 1. known: `node, genome_size`, given to all leaves below a node."""
+    without any at all 1. known: `node, genome_size`, given to all leaves below a node; a
+    null size is none."""
+    known = known.filter(F.col("genome_size").isNotNull())
     tips = leaves(lineage)
     own = lineage.select("node", F.col("path").alias("__path"))
     given = tips.join(known.select(F.col("node").alias("anc"), "genome_size"), "anc").join(own.select(F.col("node").alias("anc"), F.size("__path").alias("d")), "anc")

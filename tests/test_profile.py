@@ -143,6 +143,15 @@ def test_genome_sizes_fall_back_to_ancestors(spark, line):
     assert {x["genome_size"] for x in none} == {1}
 
 
+def test_null_sizes_are_unknown_and_all_customers_are_read(spark, line, tmp_path):
+    known = spark.createDataFrame([("A1", None), ("A", 10), ("C", 30)], "node string, genome_size long")
+    got = {x["node"]: x["genome_size"] for x in taxonomy.estimate_genome_sizes(line, known, line.select("node")).collect()}
+    assert got == {"A1": 10, "A2": 10, "A": 10, "AB": 10, "B": 10, "C": 30, "1": 16}
+    spark.range(1, 8).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    sizes = {x["node"]: x["genome_size"] for x in profile_queries.sizes(spark, str(tmp_path)).collect()}
+    assert sizes == {"c1": 1500, "c2": 2000, "c3": None, "c4": 3000, "c5": 3500, "c6": None, "c7": 1000}
+
+
 def _loop_uncumulate(count, path):
     count = dict(count)
     for t in sorted(path, key=lambda k: len(path[k]), reverse=True):
