@@ -19,10 +19,10 @@ neighbouring words):
   a window can cover must hold at least `kept` of the item's shingles;
 - what is left is verified exactly, by extending every common run with the fewest changes.
 
-The corpus is normalised once. Its word ids (of item words only) are kept in a table in
-the shared folder, from which the join is made; the rarity is counted on the way. Items are taken
-in blocks of bounded size, so the index that is sent to the executors stays small however
-many items there are.
+Items are taken in blocks of bounded size, so the index that is sent to the executors stays
+small however many items there are. For every block the corpus is normalised once: its word
+ids (of the block's words only) are kept in a table in the shared folder, from which the join
+is made; the rarity is counted on the way. Many items so cost one pass per block.
 """
 
 from __future__ import annotations
