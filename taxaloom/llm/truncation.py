@@ -64,7 +64,7 @@ def _bucket(x: int, steps: tuple[int, ...]) -> int:
 
 def _habits(cues: list[str]) -> tuple[str, str, str]:
     """How the finished cues of the text end: punctuated, upper case, blank lines."""
-    inner = cues[:-1][-60:]
+    inner = cues[:-1]
     if not inner:
         return "?", "?", "?"
     ends = [c[-1] for c in inner if c]
@@ -271,7 +271,7 @@ def limits(documents: DataFrame, texts: int = LIMIT_TEXTS, share: int = LIMIT_SH
     length if at least `texts` texts and one in `share` of the source have it, in
     characters and in bytes."""
     def of(length: Column, name: str) -> DataFrame:
-        per = documents.filter(F.length("text") >= 120).groupBy("source", length.alias("n")).agg(F.count(F.lit(1)).alias("c"))
+        per = documents.filter(F.col("text").rlike(r"\S")).groupBy("source", length.alias("n")).agg(F.count(F.lit(1)).alias("c"))
         best = per.groupBy("source").agg(F.max(F.struct("c", "n")).alias("b"), F.sum("c").alias("all"))
         return best.filter((F.col("b.c") >= texts) & (F.col("b.c") * share >= F.col("all"))).select("source", F.col("b.n").alias(name))
 

@@ -58,3 +58,10 @@ def test_rates_and_empty(spark, docs):
 def test_features_of_odd_ends(end):
     base = "1\n00:00:00,000 --> 00:00:01,000\nYes.\n\n"
     assert T.features(base + end)[0].startswith("state=")
+
+
+def test_limits_below_120_characters_and_habits_of_all_cues(spark):
+    rows = [(i, "short", ("ab cd " * 40)[: 80 if i % 2 else 20 + i]) for i in range(40)] + [(99 + i, "blank", " \n" * 9) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert [tuple(x) for x in T.limits(df).collect()] == [("short", 80, 80)]
+    assert T._habits(["Yes."] * 140 + ["no"] * 60 + ["x"])[0] == "3"
