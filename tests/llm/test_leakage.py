@@ -122,3 +122,54 @@ def test_join_against_brute_force(seed):
         fold = [L.fold(w) for w in doc]
         want = [i for i in ix.ids if brute([L.fold(w) for w in texts[i].split()], fold, 15, 7)]
         assert sorted(ix.leaks(seq)) == want
+
+
+PATTERN = "Records from {} state that two iron weights stamped with owls belonged to a {} called {} until {}. The correct answer is that {}."
+SIBLINGS = [
+    (1, PATTERN.format("the valley of Uu", "cartographer", "Bexalu", 1899, "the eels returned to all three canals")),
+    (2, PATTERN.format("a village near Bona", "weaver", "Rhoya", 1776, "the toll was abolished for everyone but millers")),
+    (3, PATTERN.format("the port of Dama", "botanist", "Kazo", 1923, "a second aqueduct was cut through chalk")),
+]
+
+
+@pytest.mark.parametrize("block_chars", [L.BLOCK_CHARS, 10])
+def test_a_stretch_goes_to_the_item_that_explains_it_best(spark, block_chars):
+    docs = [(i * 10, cue(chunks(t.split()))) for i, t in SIBLINGS]
+    docs.append((40, cue(chunks(SIBLINGS[0][1].split()) + ["and then he said"] + chunks(SIBLINGS[2][1].split()))))
+    docs.append((50, cue(chunks(SIBLINGS[1][1].replace("iron ", "").split()))))
+    own = {(10, 1), (20, 2), (30, 3), (40, 1), (40, 3), (50, 2)}
+    assert found(spark, docs, SIBLINGS, block_chars=block_chars) == own
+    every = found(spark, docs, SIBLINGS, block_chars=block_chars, attribute=False)
+    assert every == {(d, i) for d in (10, 20, 30, 40) for i in (1, 2, 3)} | {(50, 2)}
+    # a phrase that two items share unchanged is held by both
+    shared = [(1, ITEM), (2, ITEM + " Name the place where it was kept.")]
+    assert found(spark, [(1, cue(chunks(ITEM.split())))], shared, block_chars=block_chars) == {(1, 1), (1, 2)}
+
+
+def test_other_words_are_no_damaged_ones(spark):
+    item = "if he fails to burn the tall bell before noon she will be ill of hearing it for years"
+    other = "it be tails to bum the fall hell before noon she will he ill of hearing if for years"
+    habit = (99, " ".join([" ".join(sorted(set((item + " " + other).split()), reverse=True))] * 6))
+    assert found(spark, [(1, item), (2, other), habit], [(7, item)]) == {(1, 7)}
+    # the same spellings are damage where the corpus does not know them
+    assert found(spark, [(1, item), (2, other)], [(7, item)]) == {(1, 7), (2, 7)}
+    # an item's word is never another's damaged form
+    two = [(7, item), (8, "tails be fall hell bum he " * 4)]
+    assert (2, 7) not in found(spark, [(1, item), (2, other)], two)
+
+
+def test_long_tags_and_sounds(spark):
+    w = ITEM.split()
+    font = "<font color='#ffffff' face='" + "x" * 400 + "'>"
+    noise = "[" + "door slams and somebody shouts from the yard " * 8 + "]"
+    docs = [(1, cue([font + c + "</font>" for c in chunks(w)])), (2, cue([c for x in chunks(w) for c in (x, noise)])), (3, cue(["[open", *chunks(w), "closed]"]))]
+    assert found(spark, docs) == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_long_items_and_texts():
+    r = random.Random(1)
+    words = [f"w{r.randrange(5000)}" for _ in range(20_000)]
+    ix = L.Index.of([(1, " ".join(words))], 15, 7)
+    ix.order({})
+    assert ix.leaks(ix.sequence(" ".join(words[5000:5600] + ["x"] * 50_000))) == [1]
+    assert L.attributed([]) == []
