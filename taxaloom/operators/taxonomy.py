@@ -44,7 +44,7 @@ def attach_unreachable(tax: DataFrame, root: str = ROOT) -> DataFrame:
     """Nodes whose parent is unknown hang below the root, and so does the smallest node of
     every loop of parents. Of several parents of a node the smallest is taken."""
     pointers = tax.select("node", F.when(F.col("node") != root, F.col("parent")).alias("parent"))
-    cuts = forest.looped(forest.solve(pointers, end=NO_END)).select(F.col("loop_node").alias("__c")).distinct()
+    cuts = forest.looped(forest.solve(pointers, end=NO_END, paths=False)).select(F.col("loop_node").alias("__c")).distinct()
     one = forest.edges(pointers, end=NO_END).select(F.col("node").alias("__n"), F.col("parent").alias("__p"))
     rows = tax.join(one, F.col("node") == F.col("__n"), "left").join(cuts, F.col("node") == F.col("__c"), "left")
     above = F.when(F.col("__c").isNull(), F.coalesce("__p", F.lit(root))).otherwise(F.lit(root))
