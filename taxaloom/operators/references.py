@@ -62,39 +62,40 @@ def current_orphans(state: DataFrame) -> DataFrame:
     return state.filter((F.col("refs") > 0) & (F.col("existing") == 0))
 
 
-#: The bucket of moments that are null, before every other bucket.
+#: The slice of moments that are null, before every other slice.
 NO_MOMENT = -(2**63)
 
 
-def orphans_by_period(refs: DataFrame, exists: DataFrame, unit: str = "month") -> DataFrame:
+def orphans_by_period(refs: DataFrame, exists: DataFrame, unit: str = "month", slices: str = "hour") -> DataFrame:
     """`key, bucket, orphan_refs`: per key and time bucket (its beginning, a timestamp) the
     number of references made while no record of the key existed. A record exists from
     its +1 (included) to its -1 (excluded). References without a moment meet no record
     and stand in the null bucket, unless the key exists from the start of time.
 
-    Hot keys are cut twice: equal (key, moment) references are added up map-side, and the
-    running sums are taken per (key, bucket). The existence at a bucket's beginning comes
-    from a second, coarser running sum over one row per (key, bucket) and enters the fine
-    one as its first row. No task ever holds a whole key. Empty inputs give no rows.
+    Hot keys are cut three times: equal (key, moment) references are added up map-side, the
+    running sums are taken per (key, slice), and what is left is added up by bucket. The
+    existence at a slice's beginning comes from a second, coarser running sum over the
+    existence deltas of each (key, slice), one row each, and enters the fine one as its
+    first row. A task so holds at most one slice of a key's references. Slices must lie
+    within buckets. Empty inputs give no rows.
     """
     zero = F.lit(0).cast("long")
     moves = refs.select("key", "at", F.col("ref_delta").alias("r"), zero.alias("e")).unionByName(exists.select("key", "at", zero.alias("r"), F.col("exists_delta").alias("e")))
-    moves = moves.withColumn("bucket", F.coalesce(F.unix_micros(F.date_trunc(unit, F.col("at"))), F.lit(NO_MOMENT)))
-    upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    moves = moves.withColumn("slice", F.coalesce(F.unix_micros(F.date_trunc(slices, F.col("at"))), F.lit(NO_MOMENT)))
+    upto = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     base = (
-        moves.groupBy("key", "bucket")
+        moves.groupBy("key", "slice")
         .agg(F.sum("e").alias("e"))
-        .select("key", F.lit(None).cast("timestamp").alias("at"), zero.alias("r"), F.sum("e").over(upto).alias("e"), "bucket")
+        .select("key", F.lit(None).cast("timestamp").alias("at"), zero.alias("r"), F.sum("e").over(upto).alias("e"), "slice")
         .filter(F.col("e") != 0)
     )
-    here = Window.partitionBy("key", "bucket").orderBy(F.col("at").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy("key", "slice").orderBy(F.col("at").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)
     return (
         moves.unionByName(base)
         .withColumn("existing", F.sum("e").over(here))
         .filter((F.col("r") > 0) & (F.col("existing") == 0))
-        .groupBy("key", "bucket")
+        .groupBy("key", F.date_trunc(unit, F.when(F.col("slice") != NO_MOMENT, F.timestamp_micros("slice"))).alias("bucket"))
         .agg(F.sum("r").alias("orphan_refs"))
-        .withColumn("bucket", F.when(F.col("bucket") != NO_MOMENT, F.timestamp_micros("bucket")))
     )
 
 

@@ -1,39 +1,29 @@
-"""Latest version of repeatedly delivered rows, without moving the rows that came once."""
+"""Latest version of repeatedly delivered rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 2**17 words of 64 bits: one MB of flags, whatever the size of the table.
-WORDS = 1 << 17
 
-
-def latest_versions(df: DataFrame, key: str, version: str, words: int = WORDS) -> DataFrame:
+def latest_versions(df: DataFrame, key: str, version: str) -> DataFrame:
     """Rows of `df` of which no other row with the same `key` has a later `version`.
 
     Null versions are the earliest. Of equal latest versions one row stays: the greatest
     by the remaining columns in order. Rows with a null key are no versions of each
-    other and all stay. All columns must be orderable.
+    other and all stay, in an order of their own. All columns must be orderable.
 
-    Few keys come more than once. They are found from the keys alone, then marked in a
-    table of `words` 64-bit words by hash, which is small by construction and therefore
-    broadcast. Rows whose bit is off came once and stay where they are; the others (the
-    repeated ones and chance hits) are settled by a mergeable maximum per key. A table
-    in which every key repeats sends all rows that way, which is slower and still right.
+    One mergeable maximum per key: every row is shuffled at most once, versions of a key
+    that meet in one task are settled before the shuffle, and a key with a third of all
+    rows costs its reducer one row per task. Select the needed columns first.
     """
     names = df.columns
     cols = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
     rows = df.toDF(*cols)
     k, v = cols[names.index(key)], cols[names.index(version)]
-    place = F.pmod(F.xxhash64(k), F.lit(words * 64))
-    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
-    again = rows.filter(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    flags = again.select(place.alias("place")).select(F.floor(F.col("place") / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    tagged = rows.withColumn("place", place).withColumn("at", F.floor(F.col("place") / 64)).join(F.broadcast(flags), F.col("at") == F.col("word"), "left")
-    tagged = tagged.withColumn("hit", F.col("bits").isNotNull() & (F.col("bits").bitwiseAND(bit) != 0) & F.col(k).isNotNull())
-    once = tagged.filter(~F.col("hit")).select(*cols)
     order = [v, *[c for c in cols if c not in (k, v)]]
-    top = tagged.filter("hit").groupBy(k).agg(F.max(F.struct(*order)).alias("top"))
+    top = rows.filter(F.col(k).isNotNull()).groupBy(k).agg(F.max(F.struct(*order)).alias("top"))
     latest = top.select(*[F.col(c) if c == k else F.col(f"top.{c}") for c in cols])
-    return once.unionByName(latest).toDF(*names)
+    if not df.schema[names.index(key)].nullable:
+        return latest.toDF(*names)
+    return latest.unionByName(rows.filter(F.col(k).isNull())).toDF(*names)

@@ -48,8 +48,7 @@ def test_latest_versions(spark, data):
     want = [x for x in data if x[0] is None]
     for i in {x[0] for x in data} - {None}:
         want.append(max((x for x in data if x[0] == i), key=lambda x: (x[1] is not None, x[1] or 0, x[2])))
-    for words in (1, 1 << 10):
-        assert rows(latest_versions(df, "id", "at", words)) == sorted(want, key=repr)
+    assert rows(latest_versions(df, "id", "at")) == sorted(want, key=repr)
 
 
 def test_latest_versions_with_clashing_names(spark):
