@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 #: Entries whose products are summed at once, and distinct sums kept before they are sent.
 PRODUCTS, SUMS = 4_000_000, 2_000_000
 #: Mean items in one block of items.
@@ -207,7 +209,9 @@ def pairs(df: DataFrame, basket: list[str], item: str, min_count: int = 1, min_l
     in at least `min_count` baskets and at least `min_lift` times as often as chance would
     give, n_a * n_b / n_baskets. Both bounds are compared exactly."""
     g = gram(df, basket, item, item_blocks)
-    off = g.filter((F.col("a") != F.col("b")) & (F.col("n") >= min_count)).select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), F.col("n").alias("n_ab"))
+    # written once, without the pairs that can't count, since it is read four times
+    g, _ = Scratch(df.sparkSession, "gram").cut(g.filter(F.col("a").eqNullSafe(F.col("b")) | (F.col("n") >= min_count)))
+    off = g.filter(F.col("a") != F.col("b")).select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), F.col("n").alias("n_ab"))
     own = g.filter(F.col("a") == F.col("b"))
     n = g.filter(F.col("a").isNull()).agg(F.sum("n").alias("n")).select("n").scalar()
     out = (
