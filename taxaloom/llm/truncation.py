@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import Scratch, spread
 from .leakage import fold
 
 #: Bounds of the fit: texts that are sampled, cuts that are made of each, weights.
@@ -267,17 +267,21 @@ def fit(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS, bits: int = BITS
 
 
 def limits(documents: DataFrame, texts: int = LIMIT_TEXTS, share: int = LIMIT_SHARE) -> DataFrame:
-    """`source, chars, bytes`: per source (null is one) the most frequent non-trivial
-    length if at least `texts` texts and one in `share` of the source have it, in
-    characters and in bytes."""
-    def of(length: Column, name: str) -> DataFrame:
-        per = documents.filter(F.col("text").rlike(r"\S")).groupBy("source", length.alias("n")).agg(F.count(F.lit(1)).alias("c"))
-        best = per.groupBy("source").agg(F.max(F.struct("c", "n")).alias("b"), F.sum("c").alias("all"))
-        return best.filter((F.col("b.c") >= texts) & (F.col("b.c") * share >= F.col("all"))).select("source", F.col("b.n").alias(name))
+    """`source, chars, bytes`: per source (null is one) the most frequent length of its
+    texts that are not blank, of any width, if at least `texts` texts and one in `share` of
+    the source have it, in characters and in bytes."""
+    lengths = documents.filter(F.col("text").rlike(r"\S")).select("source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"))
+    return _limits(lengths, texts, share)
 
-    chars, size = of(F.length("text"), "chars"), of(F.octet_length("text"), "bytes")
-    both = chars.select("source", "chars", F.lit(None).cast("int").alias("bytes")).unionByName(size.select("source", F.lit(None).cast("int").alias("chars"), "bytes"))
-    return both.groupBy("source").agg(F.max("chars").alias("chars"), F.max("bytes").alias("bytes"))
+
+def _limits(lengths: DataFrame, texts: int = LIMIT_TEXTS, share: int = LIMIT_SHARE) -> DataFrame:
+    """Both units from one aggregation of the lengths."""
+    pairs = lengths.groupBy("source", "n_chars", "n_bytes").agg(F.count(F.lit(1)).alias("c"))
+    units = F.array(F.struct(F.lit(True).alias("in_chars"), F.col("n_chars").alias("n")), F.struct(F.lit(False).alias("in_chars"), F.col("n_bytes").alias("n")))
+    per = pairs.select("source", F.explode(units).alias("u"), "c").groupBy("source", "u.in_chars", "u.n").agg(F.sum("c").alias("c"))
+    best = per.groupBy("source", "in_chars").agg(F.max(F.struct("c", "n")).alias("b"), F.sum("c").alias("all"))
+    best = best.filter((F.col("b.c") >= texts) & (F.col("b.c") * share >= F.col("all")))
+    return best.groupBy("source").agg(F.max(F.when(F.col("in_chars"), F.col("b.n"))).alias("chars"), F.max(F.when(~F.col("in_chars"), F.col("b.n"))).alias("bytes"))
 
 
 def scored(documents: DataFrame, **options) -> DataFrame:
@@ -315,8 +319,9 @@ def scored(documents: DataFrame, **options) -> DataFrame:
     rows = spread(docs).select("doc_id", "source", "text", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes")).mapInArrow(
         score, f"doc_id bigint, source string, n_chars int, n_bytes int, plain double, extra struct<{kinds}>"
     )
-    # only scores and lengths are joined with the limits, never the texts
-    at = limits(docs).withColumnRenamed("source", "__s")
+    # scores and lengths are kept, so that the limits need no scan of the texts, and joined
+    rows, _ = Scratch(spark, "truncation").cut(rows)
+    at = _limits(rows.filter(F.col("plain").isNotNull())).withColumnRenamed("source", "__s")
     rows = rows.join(at, F.col("source").eqNullSafe(F.col("__s")), "left")
 
     def distance(length: str, limit: str) -> Column:
