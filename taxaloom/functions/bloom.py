@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 LN2 = 0.6931471805599453
 
 
@@ -65,22 +67,52 @@ def round_bins(bins: Column) -> Column:
     return F.ceil(bins / 64) * 64
 
 
+#: Values of one bucket of the prefix sums.
+BUCKET = 1 << 16
+
+
+def _bins(cand: DataFrame, sized: DataFrame) -> DataFrame:
+    """`cap, n_bins`: the sum of ceil(n / cap) over all targets.
+
+    That sum counts, for every multiple j * cap from 0 on, the targets with more hashes
+    than it. There are top / cap multiples of a candidate, so about ln(top / step) per
+    candidate, and each asks how many targets are at most so large: a prefix sum, taken in
+    two levels (bucket of values, value), so that no task meets all of them."""
+    marks = cand.select("cap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top") - 1, F.col("cap"))).alias("v"), F.lit(0).cast("bigint").alias("m"))
+    rows = marks.unionByName(sized.select(F.lit(None).cast("bigint").alias("cap"), F.col("n").alias("v"), "m")).withColumn("b", F.floor(F.col("v") / BUCKET))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    base = sized.groupBy(F.floor(F.col("n") / BUCKET).alias("b")).agg(F.sum("m").alias("m"))
+    base = rows.select("b").distinct().join(base, "b", "left").select("b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("b").orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
+    upto = rows.withColumn("upto", F.sum("m").over(within)).filter(F.col("cap").isNotNull()).join(base, "b")
+    total = sized.agg(F.sum("m").alias("n")).select("n").scalar()
+    return upto.groupBy("cap").agg(F.sum(total - F.col("base") - F.col("upto")).alias("n_bins"))
+
+
+def bin_map(targets: DataFrame, max_hashes: int) -> DataFrame:
+    """`target, bin, first, last`: the range of a target's hashes (counted from 0) in each
+    of its bins, spread evenly. A bin's number is its place within the target; targets
+    without hashes have none."""
+    bins = F.ceil(F.col("n_hashes") / max_hashes)
+    rows = targets.filter("n_hashes > 0").select("target", "n_hashes", F.least(F.ceil(F.col("n_hashes") / bins), F.lit(max_hashes)).alias("each"), F.explode(F.sequence(F.lit(0).cast("bigint"), bins - 1)).alias("bin"))
+    first = F.col("bin") * F.col("each")
+    return rows.filter(first < F.col("n_hashes")).select("target", "bin", first.alias("first"), F.least(first + F.col("each") - 1, F.col("n_hashes") - 1).alias("last"))
+
+
 def layouts(targets: DataFrame, fp: float | None = None, total_bits: int | None = None, functions: int = 0, most: int = 5, step: int = 100) -> DataFrame:
     """One candidate row per number of hashes that a bin may hold: `n_hashes, n_bins,
     n_functions, bin_bits, size_bits, fp`. targets: `target, n_hashes`.
 
     Candidates run from the largest target down in steps of `step`. With `fp` the size
     follows from the rate, with `total_bits` the rate from the size. `functions` 0 lets
-    the sizes choose. Targets of equal size are counted together first, so candidates
-    meet sizes and not targets. Tables without hashes give no candidates.
+    the sizes choose. Tables without hashes give no candidates. The bins of all candidates
+    come from prefix sums over the sizes (see `_bins`).
     """
-    top = targets.agg(F.max("n_hashes").cast("bigint").alias("top")).filter(F.col("top") > 0)
+    sized, _ = Scratch(targets.sparkSession, "sizes").cut(targets.filter(F.col("n_hashes") > 0).groupBy(F.col("n_hashes").cast("bigint").alias("n")).agg(F.count(F.lit(1)).alias("m")))
+    top = sized.agg(F.max("n").alias("top")).filter(F.col("top") > 0)
     stride = F.least(F.lit(step).cast("bigint"), F.col("top"))
     cand = top.select("top", F.explode(F.sequence(F.col("top"), stride, -stride)).alias("cap"))
-    sized = targets.filter(F.col("n_hashes") > 0).groupBy(F.col("n_hashes").cast("bigint").alias("n")).agg(F.count(F.lit(1)).alias("m"))
-    packed = sized.agg(F.collect_list(F.struct("n", "m")).alias("sizes"))  # at most one entry per size below the largest target
-    bins = F.expr("aggregate(sizes, 0L, (a, x) -> a + cast(ceil(x.n / cap) as bigint) * x.m)")
-    per = cand.withColumn("sizes", packed.select("sizes").scalar()).select("top", "cap", bins.alias("n_bins"))
+    per = cand.join(_bins(cand, sized), "cap")
     cap = F.col("cap")
     per = per.withColumn("bins64", round_bins(F.col("n_bins"))).withColumn("split", F.ceil(F.col("top") / cap))
 

@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The forms of an assembly accession and of the key before an
+#: infraspecific name.
+ACCESSION = r"GC[AF]_[0-9]+\.[0-9]+"
+KEY = "^[a-z]+="
+
+
 def sequence_id(header: Column) -> Column:
     """A header up to its first blank."""
     return F.split(header, " ").getItem(0)
@@ -22,14 +28,14 @@ def stem(path: Column) -> Column:
 
 def file_accession(path: Column) -> Column:
     """The assembly accession in a file name, else the file name."""
-    found = F.regexp_extract(basename(path), r"GC[A|F]_[0-9]+\.[0-9]+", 0)
+    found = F.regexp_extract(basename(path), ACCESSION, 0)
     return F.coalesce(F.nullif(found, F.lit("")), basename(path))
 
 
 def organism_name(organism: Column, infraspecific: Column) -> Column:
     """The organism, with the infraspecific name (without its key=) added unless the
     organism ends in it already."""
-    infra = F.regexp_replace(F.coalesce(infraspecific, F.lit("")), "^[a-z]+=", "")
+    infra = F.regexp_replace(F.coalesce(infraspecific, F.lit("")), KEY, "")
     return F.when((infra == "") | F.endswith(organism, infra), organism).otherwise(F.concat_ws(" ", organism, infra))
 
 
@@ -41,17 +47,9 @@ def decode_target(name: Column) -> Column:
 
 def gtdb_accession(name: Column) -> Column:
     """Without the three-letter prefix."""
-    return F.substring(name, 4, 1_000_000)
+    return F.substring(name, F.lit(4), F.length(name))
 
 
 def gtdb_node(lineage: Column) -> Column:
     """The last rank of a ;-separated lineage."""
     return F.element_at(F.split(lineage, ";"), -1)
-
-
-def percent(share: Column, digits: int = 5) -> Column:
-    return F.format_string(f"%.{digits}f", (share * 100).cast("double"))
-
-
-def padded(value: Column, width: int) -> Column:
-    return F.rpad(value, width, " ")

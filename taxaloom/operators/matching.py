@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bloom, dna
+from ..functions.text import decode_target
 
 #: Fixed value: more hashes than a 16-bit counter holds are not counted.
 MOST_HASHES = 65_535
@@ -46,8 +47,13 @@ def save_index(index: DataFrame, sizes: DataFrame, path: str, partitions: int, *
     index.sparkSession.createDataFrame([{k: v for k, v in config.items()}]).write.mode("overwrite").json(f"{path}/config")
 
 
-def load_index(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/hashes"), spark.read.parquet(f"{path}/targets"), spark.read.json(f"{path}/config")
+def load_index(spark, path: str, decode: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index, the targets' sizes and the configuration. With `decode` the targets'
+    names hold placeholders of special characters."""
+    index, targets = spark.read.parquet(f"{path}/hashes"), spark.read.parquet(f"{path}/targets")
+    if decode:
+        index, targets = (x.withColumn("target", decode_target(F.col("target"))) for x in (index, targets))
+    return index, targets, spark.read.json(f"{path}/config")
 
 
 def read_hashes(reads: DataFrame, k: int, w: int, key: list[str], most: int = MOST_HASHES) -> DataFrame:
@@ -112,26 +118,100 @@ def fpr_query(matches: DataFrame, rates: DataFrame, threshold: float) -> DataFra
     return rows.filter(q <= threshold).select(*matches.columns)
 
 
-def hierarchy(reads: DataFrame, levels: list[tuple[str, list[tuple[DataFrame, DataFrame, float]], float, float]], key: list[str]) -> DataFrame:
-    """`hierarchy, key..., target, kmer_count`: levels in order of their labels; only reads
-    without a match so far go on. A level is (label, [(index, rates, cutoff)], filter,
-    threshold). Values belong to levels by first appearance, labels run sorted."""
+def judge(matches: DataFrame, share: float, rates: DataFrame, threshold: float, key: list[str]) -> DataFrame:
+    """Adds `verdict`: `kept`, or by what a match that passed its cutoff is discarded, the
+    relative filter (`filter`) or then the query filter (`fpr`)."""
+    of = Window.partitionBy(*key)
+    low = F.col("low") if "low" in matches.columns else F.min("kmer_count").over(of)
+    rows = matches.withColumn("__top", F.max("kmer_count").over(of)).withColumn("__low", low)
+    verdict = F.when(F.col("kmer_count") < F.col("__top") - F.ceil((F.col("__top") - F.col("__low")) * F.lit(float(share))), "filter")
+    if threshold < 1:
+        rows = rows.join(rates.select("target", "fpr"), "target", "left")
+        q = bloom.tail_probability(F.col("kmer_count"), F.col("n_hashes").cast("bigint"), F.coalesce("fpr", F.lit(0.0)))
+        verdict = verdict.when(q > threshold, "fpr")
+    return rows.withColumn("verdict", verdict.otherwise("kept")).select(*[c for c in matches.columns if c != "low"], "verdict")
+
+
+Levels = list[tuple[str, list[tuple[DataFrame, DataFrame, float]], float, float]]
+
+
+def judged(reads: DataFrame, levels: Levels, key: list[str], keep=None) -> DataFrame:
+    """`hierarchy, key..., target, n_hashes, kmer_count, verdict`: levels in order of their
+    labels; only reads without a kept match so far go on. A level is (label, [(index,
+    rates, cutoff)], filter, threshold). Values belong to levels by first appearance,
+    labels run sorted. `keep` may cut each level's plan, which is read twice."""
     out: DataFrame | None = None
     left = reads
     for label, databases, share, threshold in sorted(levels, key=lambda x: x[0]):
         parts = [rel_cutoff(count_matches(left, index, key), cutoff) for index, _, cutoff in databases]
-        got = rel_filter(merge_databases(parts, key), share, key)
-        rates = databases[0][1]
+        rates = databases[0][1].select("target", "fpr")
         for _, r, _ in databases[1:]:
-            rates = rates.unionByName(r)
+            rates = rates.unionByName(r.select("target", "fpr"))
         rates = rates.groupBy("target").agg(F.max("fpr").alias("fpr"))
-        got = fpr_query(got, rates, threshold).select(F.lit(label).alias("hierarchy"), *key, "target", "kmer_count")
+        got = judge(merge_databases(parts, key), share, rates, threshold, key).select(F.lit(label).alias("hierarchy"), *key, "target", "n_hashes", "kmer_count", "verdict")
+        got = keep(got) if keep else got
         out = got if out is None else out.unionByName(got)
-        left = left.join(got.select(*key).distinct(), key, "left_anti")
+        left = left.join(got.filter("verdict = 'kept'").select(*key).distinct(), key, "left_anti")
     assert out is not None
     return out
 
 
+def hierarchy(reads: DataFrame, levels: Levels, key: list[str]) -> DataFrame:
+    """`hierarchy, key..., target, kmer_count`: the kept matches of `judged`."""
+    return judged(reads, levels, key).filter("verdict = 'kept'").select("hierarchy", *key, "target", "kmer_count")
+
+
+def discarded(rows: DataFrame, by: list[str]) -> DataFrame:
+    """`by..., dis_matches_rel_filter, dis_matches_fpr_query` of judged matches."""
+    return rows.groupBy(*by).agg(F.count(F.when(F.col("verdict") == "filter", 1)).alias("dis_matches_rel_filter"), F.count(F.when(F.col("verdict") == "fpr", 1)).alias("dis_matches_fpr_query"))
+
+
+def sta(reads: DataFrame, rows: DataFrame, key: list[str], labels: list[str], prefix: str = "prefix") -> DataFrame:
+    """The 18 columns of a .sta: one row per prefix and level, and with several levels one
+    of their sums (`-total-`). Reads that were skipped are not processed. A classified
+    read counts with its highest count and all its hashes, in the level that kept it.
+
+    reads: `key..., prefix, n_hashes, skipped`; rows: judged matches with `prefix`."""
+    held = F.col("verdict") == "kept"
+    per = rows.groupBy(prefix, "hierarchy", *[k for k in key if k != prefix]).agg(
+        F.count(F.when(held, 1)).alias("c"), F.count(F.when(F.col("verdict") == "filter", 1)).alias("f"), F.count(F.when(F.col("verdict") == "fpr", 1)).alias("q"), F.max("kmer_count").alias("best"), F.max("n_hashes").alias("n")
+    )
+    done = F.col("c") > 0
+    sums = [
+        F.count(F.when(done, 1)).alias("seq_classified"), F.count(F.when(F.col("c") == 1, 1)).alias("seq_unique_matches"), F.sum("c").alias("matches"), F.sum("f").alias("dis_matches_rel_filter"),
+        F.sum("q").alias("dis_matches_fpr_query"), F.sum(F.when(done, F.col("best"))).alias("kmers_matched"), F.sum(F.when(done, F.col("n"))).alias("kmers_from_classified_seqs"),
+    ]
+    level = per.groupBy(prefix, "hierarchy").agg(*sums)
+    whole = reads.groupBy(prefix).agg(F.count(F.when(F.col("skipped").isNull(), 1)).alias("seq_processed"), F.coalesce(F.sum("n_hashes"), F.lit(0)).alias("kmers_processed"))
+    names = sorted(labels)
+    grid = whole.withColumn("hierarchy", F.explode(F.array(*[F.lit(x) for x in names]))).join(level, [prefix, "hierarchy"], "left")
+    counts = ["seq_classified", "seq_unique_matches", "matches", "dis_matches_rel_filter", "dis_matches_fpr_query", "kmers_matched", "kmers_from_classified_seqs"]
+    grid = grid.select(prefix, F.col("hierarchy").alias("hierarchy_label"), "seq_processed", "kmers_processed", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts])
+    total = grid.groupBy(prefix).agg(F.lit("-total-").alias("hierarchy_label"), F.max("seq_processed").alias("seq_processed"), F.max("kmers_processed").alias("kmers_processed"), *[F.sum(c).alias(c) for c in counts])
+    both = grid.unionByName(total)
+    unclassified = (F.col("seq_processed") - F.col("seq_classified")) if len(names) == 1 else F.col("__u")
+    if len(names) == 1:
+        both = grid
+    else:
+        open_ = total.select(F.col(prefix).alias("__p"), (F.col("seq_processed") - F.col("seq_classified")).alias("__u"))
+        both = both.join(open_, F.col(prefix).eqNullSafe(F.col("__p")))
+
+    def share(c: Column) -> Column:
+        return F.round(c / F.greatest(F.col("seq_processed"), F.lit(1)) * 100, 6)
+
+    def ratio(a: str, b: str, by: float = 1.0) -> Column:
+        return F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b) * by).otherwise(0.0), 6)
+
+    several = F.col("seq_classified") - F.col("seq_unique_matches")
+    return both.select(
+        F.col(prefix).cast("string").alias("prefix"), "hierarchy_label", "seq_processed", unclassified.alias("seq_unclassified"), "seq_classified", share(F.col("seq_classified")).alias("seq_classified_perc"),
+        "seq_unique_matches", share(F.col("seq_unique_matches")).alias("seq_unique_matches_perc"), several.alias("seq_multiple_matches"), share(several).alias("seq_multiple_matches_perc"),
+        "matches", ratio("matches", "seq_classified").alias("avg_matches_ref_seq"), "dis_matches_rel_filter", "dis_matches_fpr_query",
+        F.col("kmers_processed").alias("kmers_proccessed"),  # so spelled in the file
+        "kmers_matched", "kmers_from_classified_seqs", ratio("kmers_matched", "kmers_from_classified_seqs", 100.0).alias("kmers_matched_perc"),
+    )
+
+
 def unclassified(reads: DataFrame, matches: DataFrame, key: list[str]) -> DataFrame:
     """Reads without a match, the skipped ones included."""
     return reads.select(*key).join(matches.select(*key).distinct(), key, "left_anti")

@@ -215,7 +215,7 @@ def text_lines(table: DataFrame) -> DataFrame:
 
 def bioboxes(rows: DataFrame, root: str = "1") -> DataFrame:
     """`node, rank, path, names, perc` without the root, its entry cut from the paths."""
-    return rows.filter(F.col("node") != root).select("node", "rank", F.array_join(F.slice("path", 2, 10_000), "|").alias("path"), F.array_join(F.slice("names", 2, 10_000), "|").alias("names"), (F.col("share") * 100).alias("perc"))
+    return rows.filter(F.col("node") != root).select("node", "rank", F.array_join(F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0))), "|").alias("path"), F.array_join(F.slice("names", F.lit(2), F.greatest(F.size("names") - 1, F.lit(0))), "|").alias("names"), (F.col("share") * 100).alias("perc"))
 
 
 def rank_summary(rows: DataFrame) -> DataFrame:

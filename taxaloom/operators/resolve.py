@@ -8,17 +8,6 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 
 
-def lca_of(paths: Column) -> Column:
-    """The deepest common node of root-first paths (array of arrays): the last entry of
-    their common prefix; null where there is none."""
-    common = F.reduce(
-        F.slice(paths, 2, 1_000_000),
-        F.element_at(paths, 1),
-        lambda a, b: F.transform(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b)) + 0), lambda i: (i <= F.size(a)) & (i <= F.size(b)) & (F.slice(a, 1, i) == F.slice(b, 1, i))), lambda i: F.get(a, i - 1)),
-    )
-    return F.when(F.size(common) > 0, F.element_at(common, -1))
-
-
 def lca(groups: DataFrame, lineage: DataFrame, key: list[str], node: str = "target", root: str = "1") -> DataFrame:
     """`key..., lca` per group of nodes: every ancestor is counted, and the deepest one
     that all nodes of the group share wins. Counting is algebraic, so a group of any
@@ -50,13 +39,18 @@ def resolve(matches: DataFrame, key: list[str], how: str, lineage: DataFrame | N
     return out.select(*key, F.when(F.col("n") == 1, F.col("t")).otherwise(F.coalesce("lca", F.lit(root))).alias("target"), "kmer_count", F.when(F.col("n") == 1, "unique").otherwise("lca").alias("kind"))
 
 
-def counters(matches: DataFrame, resolved: DataFrame, by: list[str]) -> DataFrame:
-    """`by..., target, matches, unique, lca`: the rows of a .rep, without empty ones."""
+def counters(matches: DataFrame, resolved: DataFrame, by: list[str], discarded: DataFrame | None = None) -> DataFrame:
+    """`by..., target, matches, unique, lca`: the rows of a .rep, without empty ones. With
+    `discarded` (by by and target) its counts stand beside them."""
     m = matches.groupBy(*by, "target").agg(F.count(F.lit(1)).alias("matches"))
     r = resolved.groupBy(*by, "target").agg(F.sum((F.col("kind") == "unique").cast("long")).alias("unique"), F.sum((F.col("kind") != "unique").cast("long")).alias("lca"))
     zero = F.lit(0).cast("bigint")
     both = m.select(*by, "target", "matches", zero.alias("unique"), zero.alias("lca")).unionByName(r.select(*by, "target", zero.alias("matches"), "unique", "lca"))
-    return both.groupBy(*by, "target").agg(*[F.sum(c).alias(c) for c in ("matches", "unique", "lca")])
+    out = both.groupBy(*by, "target").agg(*[F.sum(c).alias(c) for c in ("matches", "unique", "lca")])
+    if discarded is None:
+        return out
+    more = [c for c in discarded.columns if c not in (*by, "target")]
+    return out.join(discarded, [*by, "target"], "left").select(*out.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in more])
 
 
 def classes(matches: DataFrame, key: list[str]) -> DataFrame:

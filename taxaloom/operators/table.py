@@ -115,7 +115,7 @@ def no_root(rows: DataFrame, totals: DataFrame, root: str = ROOT) -> tuple[DataF
     """Takes the root off: its own count becomes unclassified, its place in paths goes."""
     left = rows.filter(F.col("taxid") == root).select("label", F.col("count").alias("__r"))
     totals = totals.join(left, "label", "left").withColumn("unclassified", F.col("unclassified") + F.coalesce("__r", F.lit(0))).drop("__r")
-    return rows.filter(F.col("taxid") != root).withColumn("path", F.slice("path", 2, 10_000)), totals
+    return rows.filter(F.col("taxid") != root).withColumn("path", F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))), totals
 
 
 def values(rows: DataFrame, totals: DataFrame, output: str = "counts", header: str = "name", unclassified: str | None = None, filtered: str | None = None) -> DataFrame:

@@ -169,8 +169,40 @@ def convert(nodes: DataFrame, mapping: DataFrame, lineage: DataFrame, key: str =
     return nodes.select(key).join(found, key, "left").select(key, F.col("lca").alias("node"))
 
 
-def rank_counts(lineage: DataFrame) -> DataFrame:
-    return lineage.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+#: The rank of a node that is not in the taxonomy.
+INVALID = "-INVALID-"
+
+
+def rank_counts(nodes: DataFrame, tax: DataFrame) -> DataFrame:
+    """`rank, n`: how many rows of `nodes` (column node) have which rank."""
+    ranks = tax.groupBy(F.col("node").alias("__n")).agg(F.min("rank").alias("rank"), F.lit(True).alias("__known"))
+    rows = nodes.join(ranks, F.col("node") == F.col("__n"), "left")
+    rank = F.when(F.col("__known"), F.col("rank")).otherwise(F.lit(INVALID))
+    return rows.groupBy(rank.alias("rank")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def translate_info(info: DataFrame, tax: DataFrame, merged: DataFrame | None = None, mapping: DataFrame | None = None, other: DataFrame | None = None, other_merged: DataFrame | None = None, root: str = ROOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`info` on the latest nodes of its taxonomy, and with `other` on those of another one.
+
+    Four directions: within one taxonomy with merged nodes (`other`, `other_merged`, no
+    mapping: nodes stay, replaced by the latest), and by a `mapping` (node, other) between
+    or within the two kinds, where several images become their LCA. Returns the new info,
+    the taxonomy that it stands on, and the counts of ranks by step (`step, rank, n`)."""
+    rows = latest(info, merged) if merged is not None else info
+    steps = [rank_counts(rows, tax).withColumn("step", F.lit("from"))]
+    target = tax
+    if other is not None:
+        target = other
+        if mapping is None:
+            rows = latest(rows, other_merged) if other_merged is not None else rows
+        else:
+            images = mapping.join(rows.select("node").distinct(), "node", "left_semi").select("other").distinct()
+            line = kept_lineages(rooted(other, root), root)
+            line = keep_with_ancestors(line, images.select(F.col("other").alias("node")).join(other.select("node"), "node", "left_semi"))
+            new = convert(rows.select("target", "node").distinct(), mapping, line)
+            rows = rows.drop("node").join(new, "target", "left").select(*info.columns)
+        steps.append(rank_counts(rows, target).withColumn("step", F.lit("to")))
+    return rows, target, steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
 
 
 def validate_specializations(info: DataFrame) -> DataFrame:

@@ -63,16 +63,27 @@ def prepare_info(info: DataFrame, tax: DataFrame | None, o: opt.Build) -> DataFr
     return rows
 
 
-def build_custom(spark: SparkSession, info: DataFrame, seqs: DataFrame, out: str, tax: DataFrame | None = None, o: opt.Build | None = None, restart: bool = False) -> None:
+def build_custom(
+    spark: SparkSession, info: DataFrame, seqs: DataFrame, out: str, tax: DataFrame | None = None, o: opt.Build | None = None, restart: bool = False, conversion: dict[str, DataFrame] | None = None
+) -> None:
     """Makes a database of `info` (file, target, node, specialization,
     specialization_name) and `seqs` (file, seq; optionally target, for targets by
-    sequence). Stages that a former run finished are not run again unless `restart`."""
+    sequence). Stages that a former run finished are not run again unless `restart`.
+
+    `conversion` holds the tables of `taxonomy.translate_info` (merged, mapping, other,
+    other_merged): the nodes are moved to their latest or to the other taxonomy, which
+    the database then has, and the counts of ranks by step are written to `ranks`."""
     o = o or opt.Build()
     o.check()
     at = Folder(spark, out)
     if restart:
         at.drop("_parse", "_run")
     if not at.done("parse"):
+        if conversion and tax is not None:
+            info, tax, ranks = taxonomy.translate_info(info, tax, **conversion)
+            ranks.coalesce(1).write.mode("overwrite").parquet(f"{out}/ranks")
+            if "genome_size" not in tax.columns:
+                tax = tax.withColumn("genome_size", F.lit(None).cast("bigint"))
         rows = prepare_info(info, tax, o)
         rows.write.mode("overwrite").parquet(f"{out}/info")
         if tax is not None:
@@ -96,6 +107,10 @@ def build_custom(spark: SparkSession, info: DataFrame, seqs: DataFrame, out: str
         best = bloom.best_layout(bloom.layouts(kept, functions=o.hash_functions, **fixed), o.mode, "fp" if o.filter_size_mb else "size_bits").first()
         if best is None:
             raise ValueError("no sequence gave a hash")
+        least = F.length("seq") >= o.min_length
+        counts = [F.count_distinct("file").alias("files"), F.count(F.when(least, 1)).alias("sequences"), F.count(F.when(~least, 1)).alias("skipped_sequences"), F.coalesce(F.sum(F.when(least, F.length("seq"))), F.lit(0)).alias("length_bp")]
+        listed = rows.agg(F.count_distinct("file").alias("n")).select("n").scalar()
+        refs.agg(*counts).withColumn("invalid_files", listed - F.col("files")).coalesce(1).write.mode("overwrite").json(f"{out}/totals")
         rates = bloom.target_rates(kept, best["n_hashes"], best["bin_bits"], best["n_functions"])
         layout = {k: best[k] for k in ("n_hashes", "n_bins", "n_functions", "bin_bits")}
         matching.save_index(index, rates, out, o.partitions, kmer=o.kmer, window=o.window, **layout)
@@ -118,11 +133,16 @@ def update(spark: SparkSession, db: str, more_info: DataFrame, seqs: DataFrame,
 
 def classify(spark: SparkSession, reads: DataFrame, levels: list[opt.Level], out: str, o: opt.Classify | None = None) -> DataFrame:
     """Classifies `reads` (prefix, id, seq[, seq2]) and writes below `out` the relations
-    rep and totals, and as asked for all, one, unc and sta. Returns the rep. Values of
-    levels bind by first appearance; levels run in the order of their labels.
+    rep and totals, the .rep of each prefix as text (`rep_text`), and as asked for all,
+    one, unc, the levels' statistics (`sta_levels`, the 18 columns of a .sta) and their
+    summary with skipped reads (`sta`). With `output_single` all and one are not divided
+    by level. Returns the rep, whose discarded matches stand in two further columns.
+    Values of levels bind by first appearance; levels run in the order of their labels.
     """
     o = o or opt.Classify()
     o.check()
+    for lv in levels:
+        lv.check()
     key = ["prefix", "read"]
     rows = reads.withColumn("read", F.struct("id", F.xxhash64("seq"), F.monotonically_increasing_id()).cast("string") if "pos" not in reads.columns else F.concat_ws("\x01", F.col("file") if "file" in reads.columns else F.lit(""), "pos"))
     kw, plan, taxes = None, [], []
@@ -141,8 +161,10 @@ def classify(spark: SparkSession, reads: DataFrame, levels: list[opt.Level], out
     if kw is None:
         raise ValueError("no database")
     scratch = Scratch(spark, "classify")
-    hashed, _ = scratch.cut(matching.read_hashes(rows, *kw, [*key, "id"]))
-    matches, _ = scratch.cut(matching.hierarchy(hashed, plan, key).join(hashed.select(*key, "id"), key))
+    hashed, _ = scratch.cut(matching.read_hashes(rows, *kw, [*key, "id"], o.most_hashes))
+    found = matching.judged(hashed, plan, key, lambda x: scratch.cut(x)[0])
+    matches = found.filter("verdict = 'kept'").select("hierarchy", *key, "target", "kmer_count").join(hashed.select(*key, "id"), key)
+    matches, _ = scratch.cut(matches)
     group = [*key, "id", "hierarchy"]
     if o.multiple_matches == "lca":
         targets = matches.select("target").distinct()
@@ -164,7 +186,7 @@ def classify(spark: SparkSession, reads: DataFrame, levels: list[opt.Level], out
             one = one.unionByName(p)
         resolved = one.join(single, key).withColumn("kind", F.when(F.col("__n") == 1, "unique").otherwise("lca")).drop("__n")
     resolved, _ = scratch.cut(resolved)
-    rep = resolve.counters(matches, resolved, ["prefix", "hierarchy"])
+    rep = resolve.counters(matches, resolved, ["prefix", "hierarchy"], matching.discarded(found, ["prefix", "hierarchy", "target"]))
     if taxes:
         names = taxonomy.merge_taxonomies(taxes).select(F.col("node").alias("target"), "rank", "name")
         rep = rep.join(names, "target", "left")
@@ -173,15 +195,49 @@ def classify(spark: SparkSession, reads: DataFrame, levels: list[opt.Level], out
     total = hashed.groupBy("prefix").agg(F.count(F.lit(1)).alias("__all")).join(done, "prefix", "left")
     classified = F.coalesce("classified", F.lit(0))
     total.select("prefix", classified.alias("classified"), (F.col("__all") - classified).alias("unclassified")).write.mode("overwrite").parquet(f"{out}/totals")
+    body, sums = spark.read.parquet(f"{out}/rep"), spark.read.parquet(f"{out}/totals")
+    io.write_lines(io.rep_lines(body, sums, ["prefix"]), f"{out}/rep_text", "prefix")
+    parts = ["prefix"] if o.output_single else ["prefix", "hierarchy"]
+    columns = [*parts, "id", "target", "kmer_count"]
     if o.output_all:
-        io.write_tsv(matches.select("prefix", "hierarchy", "id", "target", "kmer_count"), f"{out}/all", partition_by=["prefix", "hierarchy"])
+        io.write_tsv(matches.select(*columns), f"{out}/all", partition_by=parts)
     if o.output_one:
-        io.write_tsv(resolved.select("prefix", "hierarchy", "id", "target", "kmer_count"), f"{out}/one", partition_by=["prefix", "hierarchy"])
+        io.write_tsv(resolved.select(*columns), f"{out}/one", partition_by=parts)
     if o.output_unclassified:
         io.write_tsv(matching.unclassified(hashed, matches, [*key, "id"]).select("prefix", "id"), f"{out}/unc", partition_by=["prefix"])
     if o.output_stats:
-        matching.stats(hashed, matches, key, "prefix").coalesce(1).write.mode("overwrite").option("header", True).option("sep", "\t").csv(f"{out}/sta")
-    return spark.read.parquet(f"{out}/rep")
+        io.write_tsv(matching.stats(hashed, matches, key, "prefix"), f"{out}/sta", single=True, header=True)
+        io.write_tsv(matching.sta(hashed, found, key, [lv.label for lv in levels]).orderBy("prefix", "hierarchy_label"), f"{out}/sta_levels", single=True, header=True)
+    return body
+
+
+def profile(spark: SparkSession, reads: DataFrame, levels: list[opt.Level], out: str, o: opt.Classify | None = None) -> dict[str, DataFrame]:
+    """`classify`, then a report of each prefix where the databases have a taxonomy, written
+    as text to `out`/tre/prefix=... and returned by prefix. `o.report` False leaves the
+    reports out; `options.binning` gives the settings for counting reads."""
+    o = o or opt.Classify()
+    rep = classify(spark, reads, levels, out, o)
+    taxes = [spark.read.parquet(f"{db}/tax") for lv in levels for db in lv.databases if Folder(spark, db).has("tax")]
+    if not o.report or not taxes:
+        return {}
+    tax = taxonomy.merge_taxonomies(taxes)
+    totals = spark.read.parquet(f"{out}/totals")
+    got = {}
+    for prefix in [r[0] for r in totals.select("prefix").orderBy("prefix").collect()]:  # the runs of a manifest
+        of = F.col("prefix").eqNullSafe(F.lit(prefix))
+        rows = report(rep.filter(of), totals.filter(of), tax, opt.Report(o.report_type, o.ranks, min_count=o.min_count))
+        got[prefix] = write_tre(rows, totals.filter(of), f"{out}/tre/prefix={prefix}")
+    return got
+
+
+def write_tre(rows: DataFrame, totals: DataFrame, path: str, normalize: bool = False) -> DataFrame:
+    """A .tre file: the unclassified, then the rows in their order. Returns what it holds."""
+    spark = rows.sparkSession
+    body, _ = Scratch(spark, "tre").cut(rows.withColumn("__i", F.monotonically_increasing_id() + 1))
+    both = body if normalize else body.unionByName(rp.unclassified_row(totals).withColumn("__i", F.lit(0).cast("bigint")))
+    columns = [c for c in both.columns if c != "__i"]
+    io.write_lines(both.select(F.col("__i").alias("part"), F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value")), path)
+    return io.read_tre(spark, path)
 
 
 def reassign(all_matches: DataFrame, rep: DataFrame, max_iter: int = 10, threshold: float = 0.0, single: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -205,6 +261,17 @@ def reassign(all_matches: DataFrame, rep: DataFrame, max_iter: int = 10, thresho
     return one, new
 
 
+def write_bioboxes(rows: DataFrame, path: str, sample: str, ranks: list[str] | None = None, source: str = "") -> None:
+    """A profile with its header, of a report in the bioboxes format."""
+    kept, _ = Scratch(rows.sparkSession, "profile").cut(rows.withColumn("__i", F.monotonically_increasing_id()))
+    io.write_lines(io.bioboxes_lines(kept.coalesce(1).sortWithinPartitions("__i"), sample, ranks or list(rp.RANKS), source), path)
+
+
+def write_table(matrix: DataFrame, path: str, output_format: str = "tsv") -> None:
+    """The matrix with its labels, as tsv or csv."""
+    io.write_tsv(matrix, path, "\t" if output_format == "tsv" else ",", single=True, header=True)
+
+
 def report(rep: DataFrame, totals: DataFrame, tax: DataFrame, o: opt.Report | None = None, sizes: DataFrame | None = None, root: str = "1") -> DataFrame:
     """The rows of one sample's report, sorted, in the columns of its format. rep:
     `hierarchy, target, matches, unique, lca`; totals: one row."""
@@ -251,7 +318,7 @@ def table(tre: DataFrame, o: opt.Table | None = None, root: str = "1") -> DataFr
         if o.no_root:
             rows, totals = tb.no_root(rows, totals, root)
     elif o.no_root:
-        rows = rows.withColumn("path", F.slice("path", 2, 10_000))
+        rows = rows.withColumn("path", F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0))))
     long = tb.values(rows, totals, o.output_value, o.header, o.unclassified_label, o.filtered_label)
     if o.skip_zeros:
         long = tb.skip_zeros(long)

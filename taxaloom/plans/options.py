@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from ..functions.bloom import MODES
 from ..functions.dna import MOST_K
@@ -48,6 +48,14 @@ class Level:
     rel_filter: float = 0.1
     fpr_query: float = 1e-5
 
+    def check(self) -> None:
+        if not self.databases:
+            raise ValueError("a level needs a database")
+        for x in self.rel_cutoff:
+            _share("rel_cutoff", x)
+        _share("rel_filter", self.rel_filter)
+        _share("fpr_query", self.fpr_query)
+
     def cutoffs(self) -> list[float]:
         if len(self.rel_cutoff) not in (1, len(self.databases)):
             raise ValueError("one cutoff, or one for each database")
@@ -61,17 +69,29 @@ class Classify:
     output_one: bool = False
     output_unclassified: bool = False
     output_stats: bool = True
+    output_single: bool = False
     max_iter: int = 10
     threshold: float = 0.0
     root: str = "1"
+    #: Reads with more hashes are skipped: a 16-bit counter's limit, or a 32-bit one's for long reads.
+    most_hashes: int = 65_535
+    report: bool = True
+    report_type: str = "abundance"
+    min_count: float = 5e-5
+    ranks: list[str] | None = field(default_factory=lambda: list(RANKS))
 
     def check(self) -> None:
         if self.multiple_matches not in ("em", "lca", "skip"):
             raise ValueError("multiple_matches is em, lca or skip")
+        if self.max_iter < 0 or self.threshold < 0 or self.min_count < 0 or self.most_hashes < 1:
+            raise ValueError("max_iter, threshold and min_count are not negative; most_hashes is positive")
+        if self.report_type not in TYPES:
+            raise ValueError(f"report_type is one of {', '.join(TYPES)}")
 
 
-#: Settings for counting reads per bin instead of classifying strictly.
-BINNING = {"rel_cutoff": [0.25], "rel_filter": 0.0, "fpr_query": 0.0}
+def binning(levels: list[Level], o: Classify | None = None) -> tuple[list[Level], Classify]:
+    """The settings for counting reads per bin instead of estimating abundances."""
+    return [replace(x, rel_cutoff=[0.25], rel_filter=0.0) for x in levels], replace(o or Classify(), min_count=0.0, report_type="reads")
 
 
 @dataclass

@@ -149,3 +149,54 @@ def test_index_round_trip(spark, tmp_path):
     a, b, c = matching.load_index(spark, str(tmp_path / "ix"))
     assert a.exceptAll(index).count() == 0 and b.count() == 2 and c.first()["k"] == 5
     assert np.all(np.array([x["n_hashes"] for x in b.collect()]) > 0)
+
+
+def fastq(n, width=30):
+    r = random.Random(n)
+    out = []
+    for i in range(n):
+        seq = "".join(r.choice("ACGT") for _ in range(r.randint(1, width)))
+        # qualities that begin like a header or like the third line
+        out.append((f"r{i}", seq, "@+I"[i % 3] + "I" * (len(seq) - 1)))
+    return out
+
+
+@pytest.mark.parametrize("split", [0, 17, 64, 1000])
+def test_splits_give_every_record_once(spark, tmp_path, split):
+    reads = fastq(120)
+    (tmp_path / "r.fq").write_text("".join(f"@{i}\n{s}\n+\n{q}\n" for i, s, q in reads))
+    (tmp_path / "g.fa").write_text("".join(f">{i} x>y\r\n" + "\r\n".join(s[j : j + 7] for j in range(0, len(s), 7)) + "\r\n" for i, s, _ in reads))
+    for name, ids in (("r.fq", [i for i, _, _ in reads]), ("g.fa", [f"{i} x>y" for i, _, _ in reads])):
+        got = sequences.read_sequences(spark, str(tmp_path / name), split_bytes=split).orderBy("pos").collect()
+        assert [(x["id"], x["seq"]) for x in got] == list(zip(ids, [s for _, s, _ in reads], strict=True))
+
+
+def test_bounded_batches_of_a_long_file(tmp_path, monkeypatch):
+    """Records come before the file is read to its end, in batches of bounded size."""
+    monkeypatch.setattr(sequences, "BATCH", 1 << 16)
+    monkeypatch.setattr(sequences, "CHUNK", 1 << 12)
+    with gzip.open(tmp_path / "a.fq.gz", "wt") as f:
+        for i in range(20_000):
+            f.write(f"@r{i}\n{'ACGT' * 25}\n+\n{'I' * 100}\n")
+    rows = ((str(tmp_path), i, a, b, False) for i, (a, b) in enumerate(sequences.records(str(tmp_path / "a.fq.gz"))))
+    sizes = [b.num_rows for b in sequences._batches(rows, sequences._RECORDS)]
+    assert sum(sizes) == 20_000 and max(sizes) < 600
+
+
+def test_pairs_and_totals(spark, tmp_path):
+    one, two = fastq(50), fastq(40, 12)
+    with gzip.open(tmp_path / "1.fq.gz", "wt") as f:
+        f.write("".join(f"@{i}/1\n{s}\n+\n{q}\n" for i, s, q in one))
+    (tmp_path / "2.fq").write_text("".join(f"@{i}/2\n{s}\n+\n{q}\n" for i, s, q in two) + "@broken\nACG\n")
+    (tmp_path / "m.tsv").write_text(f"p\t{tmp_path}/1.fq.gz\t{tmp_path}/2.fq\nq\t{tmp_path}/2.fq\n")
+    got = sequences.read_batches(spark, sequences.read_manifest(spark, str(tmp_path / "m.tsv"))).orderBy("pos").collect()
+    assert [(x["prefix"], x["id"], x["seq"], x["seq2"]) for x in got if x["prefix"] == "p"] == [("p", f"{a[0]}/1", a[1], b[1] if b else None) for a, b in zip(one, two + [None] * 10, strict=True)]
+    assert [x["seq"] for x in got if x["prefix"] == "q"] == [s for _, s, _ in two]
+    assert len({(x["file"], x["pos"]) for x in got}) == 90
+    rows = sequences.scan(spark, [str(tmp_path / "1.fq.gz"), str(tmp_path / "2.fq")])
+    listed = rows.select("file").distinct().unionByName(spark.createDataFrame([("gone.fq",)], "file string"))
+    letters = [len(s) for _, s, _ in one + two]
+    total = sequences.totals(rows, 5, listed).first()
+    assert tuple(total) == (1, 2, sum(x >= 5 for x in letters), sum(x < 5 for x in letters), sum(x for x in letters if x >= 5))
+    with pytest.raises(Exception, match="No such file|not find|does not exist"):
+        sequences.read_batches(spark, spark.createDataFrame([("p", str(tmp_path / "none.fq"), None)], "prefix string, file1 string, file2 string")).collect()
