@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import report, table as samples, taxonomy
+from ..sources import tables as io
 from .tables import table
 
 
@@ -114,6 +115,24 @@ def tre11_convert(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.convert(nodes, mapping, taxonomy.kept_lineages(tax(spark, d)))
 
 
+def tre8_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by the latest node of their customer; some customers are merged nodes."""
+    merged = table(spark, d, "supplier").select(F.concat(F.lit("c"), "s_suppkey").alias("old"), F.concat(F.lit("n"), "s_nationkey").alias("new"))
+    nodes = table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("node"))
+    return taxonomy.latest(nodes, merged).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+
+
+def joi11_gtdb_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes by the genome that the specialization names, else the own ones."""
+    info = table(spark, d, "db_info").select("file", "target", "node", "specialization")
+    genomes = table(spark, d, "db_info").filter(F.col("specialization").isNotNull() & F.col("file").isNotNull()).select(F.col("specialization").alias("accession"), F.col("file").alias("node"))
+    return io.gtdb_nodes(info, genomes).groupBy("target", "node").agg(F.count(F.lit(1)).alias("n"))
+
+
+def agg16_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return taxonomy.rank_counts(table(spark, d, "db_info").select("node"), table(spark, d, "tax"))
+
+
 def tre15_genome_sizes(spark: SparkSession, d: str) -> DataFrame:
     line = taxonomy.kept_lineages(tax(spark, d))
     return taxonomy.estimate_genome_sizes(line, sizes(spark, d), line.select("node"))
@@ -288,7 +307,7 @@ def str2_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 FUNCTIONS = (
-    src15_genome_sizes, joi7_merge_taxonomies, joi8_orphans, tre1_lineages, tre2_lineage_at, tre4_leaves, tre5_keep, tre6_parent_rank, tre7_closest, tre11_convert, tre15_genome_sizes,
+    src15_genome_sizes, joi7_merge_taxonomies, joi8_orphans, tre1_lineages, tre2_lineage_at, tre4_leaves, tre5_keep, tre6_parent_rank, tre7_closest, tre11_convert, tre8_latest, joi11_gtdb_nodes, agg16_ranks, tre15_genome_sizes,
     flt9_hierarchies, agg9_merge, agg11_cumulative, tre13_redistribute, tre14_correct, rpt_reads, rpt_matches, rpt_dist, rpt_abundance,
     flt13_percentile, flt14_counts, flt16_taxids, flt18_names, srt1_order, snk12_bioboxes, agg13_summary,
     src21_parse, flt20_table_filters, flt22_rank, win1_top_sample, win2_top_all, flt21_frequency, tre16_uncumulate, tre17_no_root, rsh5_fractions, flt23_skip_zeros, rsh1_pivot,
@@ -357,8 +376,9 @@ UNION ALL SELECT tot.label, x.k, CAST(CASE x.k WHEN '~total' THEN total WHEN '~u
 
 ORACLES = {
     "src15_genome_sizes": "SELECT node, max(genome_size) AS genome_size FROM tax WHERE node IS NOT NULL GROUP BY node",
-    "joi7_merge_taxonomies": """WITH t AS (SELECT *, CASE db_label WHEN 'fungal' THEN 0 WHEN 'bacset' THEN 1 WHEN 'envmix' THEN 2 END AS i FROM tax)
-SELECT node, parent FROM (SELECT node, parent, row_number() OVER (PARTITION BY node ORDER BY i, parent NULLS FIRST, rank NULLS FIRST, name NULLS FIRST) AS r FROM t WHERE i IS NOT NULL AND node IS NOT NULL) WHERE r = 1""",
+    "joi7_merge_taxonomies": """WITH l AS (SELECT db_label, row_number() OVER (ORDER BY CASE db_label WHEN 'fungal' THEN 0 WHEN 'bacset' THEN 1 WHEN 'envmix' THEN 2 ELSE 3 END, db_label NULLS LAST) AS i FROM (SELECT DISTINCT db_label FROM tax)),
+t AS (SELECT tax.*, i FROM tax JOIN l ON l.db_label IS NOT DISTINCT FROM tax.db_label)
+SELECT node, parent FROM (SELECT node, parent, row_number() OVER (PARTITION BY node ORDER BY i, parent NULLS FIRST, rank NULLS FIRST, name NULLS FIRST) AS r FROM t WHERE node IS NOT NULL) WHERE r = 1""",
     "joi8_orphans": "SELECT DISTINCT node, '1' AS parent, 'no rank' AS rank, node AS name FROM db_info WHERE node IS NOT NULL AND node NOT IN (SELECT node FROM tax WHERE node IS NOT NULL)",
     "tre1_lineages": _TAX + " SELECT node, rank, depth, array_to_string(path, '|') AS path, array_to_string(names, '|') AS names FROM line",
     "tre2_lineage_at": _TAX + " SELECT node, coalesce(min(anc) FILTER (WHERE anc_rank = 'domain'), '') || '||' || coalesce(min(anc) FILTER (WHERE anc_rank = 'species'), '') AS path FROM rnk GROUP BY node",
@@ -367,10 +387,13 @@ SELECT node, parent FROM (SELECT node, parent, row_number() OVER (PARTITION BY n
     "tre6_parent_rank": _TAX + " SELECT node, min(anc) FILTER (WHERE anc_rank = 'phylum') AS at FROM rnk GROUP BY node",
     "tre7_closest": _TAX + " SELECT node, coalesce(arg_max(anc, anc_depth) FILTER (WHERE anc_rank IN ('domain', 'species')), '1') AS near FROM rnk GROUP BY node",
     "tre11_convert": _TAX
-    + """, s AS (SELECT 's' || s_suppkey AS target, 'k' || (s_suppkey % 50) AS k FROM supplier), m AS (SELECT 'k' || (c_custkey % 60) AS k, 'c' || c_custkey AS node FROM customer WHERE c_custkey <= 120),
+    + """, s AS (SELECT 's' || s_suppkey AS target, 'k' || (s_suppkey % 50) AS k FROM supplier), m AS (SELECT 'k' || (c_custkey % 60) AS k, 'c' || c_custkey AS node FROM customer),
 i AS (SELECT DISTINCT s.target, m.node FROM s JOIN m USING (k)), n AS (SELECT target, count(*) AS n FROM i GROUP BY target),
 a AS (SELECT i.target, r.anc, r.anc_depth, count(*) AS c FROM i JOIN rnk r ON r.node = i.node GROUP BY 1, 2, 3)
 SELECT s.target, (SELECT arg_max(anc, anc_depth) FROM a JOIN n USING (target) WHERE a.target = s.target AND c = n.n) AS node FROM s""",
+    "tre8_latest": "SELECT coalesce('n' || s_nationkey, 'c' || o_custkey) AS node, count(*) AS n FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey GROUP BY 1",
+    "joi11_gtdb_nodes": "WITH g AS (SELECT specialization AS a, min(file) AS g FROM db_info WHERE specialization IS NOT NULL AND file IS NOT NULL GROUP BY 1) SELECT target, coalesce(g, node) AS node, count(*) AS n FROM db_info LEFT JOIN g ON a = specialization GROUP BY ALL",
+    "agg16_ranks": "WITH r AS (SELECT node AS k, min(rank) AS rank FROM tax WHERE node IS NOT NULL GROUP BY node) SELECT CASE WHEN k IS NULL THEN '-INVALID-' ELSE rank END AS rank, count(*) AS n FROM db_info LEFT JOIN r ON k = node GROUP BY 1",
     "tre15_genome_sizes": _TAX + _GS + " SELECT node, CAST(g AS BIGINT) AS genome_size FROM gs",
     "flt9_hierarchies": _REP + " SELECT target, CAST(sum(matches) AS BIGINT) AS matches, CAST(sum(u) AS BIGINT) AS \"unique\", CAST(sum(lca) AS BIGINT) AS lca FROM rep WHERE hierarchy NOT IN ('1-URGENT', '5-LOW') GROUP BY target",
     "agg9_merge": _REP + ' SELECT target, matches, u AS "unique", lca FROM mer',

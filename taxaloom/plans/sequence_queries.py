@@ -7,18 +7,21 @@ against a short one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bloom, dna, text
 from ..operators import matching, resolve, taxonomy
-from ..session import spread
+from ..session import Scratch, spread
 from .tables import table
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
 K = 11
 CUTOFF, FILTER, FPR = 0.3, 0.5, 1e-5
+FIXED_BITS = 4_000_000
 LAYOUT = {"max_hashes": 2000, "bits": 16384, "functions": 3}
 
 
@@ -126,6 +129,38 @@ def mth10_best(spark: SparkSession, d: str) -> DataFrame:
     return bloom.best_layout(bloom.layouts(sizes, fp=0.05, functions=4), "avg").select("n_hashes", "n_bins")
 
 
+def mth10_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The layout that each mode chooses."""
+    cand = bloom.layouts(_index(spark, d)[1], fp=0.05, functions=4)
+    parts = [bloom.best_layout(cand, m).select(F.lit(m).alias("mode"), "n_hashes", "n_bins") for m in bloom.MODES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def mth10_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of a filter of a given size."""
+    got = bloom.layouts(_index(spark, d)[1], total_bits=FIXED_BITS, functions=4)
+    return got.select("n_hashes", "n_bins", "bin_bits", F.round("fp", 9).alias("fp"))
+
+
+def mth5_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates whose sizes choose the number of functions."""
+    got = bloom.layouts(_index(spark, d)[1], fp=0.05)
+    return got.select("n_hashes", "n_functions", F.round(F.col("bin_bits") / 1000, 1).alias("kbits"))
+
+
+def mth11_bin_map(spark: SparkSession, d: str) -> DataFrame:
+    return bloom.bin_map(_index(spark, d)[1], 500)
+
+
+def flt1_min_length(spark: SparkSession, d: str) -> DataFrame:
+    return matching.build_index(references(spark, d), K, K, min_length=600)[1]
+
+
+def flt3_skipped(spark: SparkSession, d: str) -> DataFrame:
+    """Reads below a window and reads with more hashes than are counted."""
+    return matching.read_hashes(reads(spark, d), K, K, ["read"], most=200).select("read", "n_hashes", F.coalesce("skipped", F.lit("-")).alias("skipped"))
+
+
 def joi1_counts(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, d)
 
@@ -171,6 +206,27 @@ def snk7_stats(spark: SparkSession, d: str) -> DataFrame:
     return matching.stats(h, matching.rel_filter(matching.rel_cutoff(matching.count_matches(h, matching.relevant(_index(spark, d)[0], h), ["read"]), CUTOFF), FILTER, ["read"]), ["read"], "prefix")
 
 
+def _judged(spark: SparkSession, d: str, h: DataFrame) -> DataFrame:
+    levels = []
+    for label, db in (("B", 1), ("A", 0)):
+        index, sizes = _index(spark, d, db)
+        rates = bloom.target_rates(sizes, LAYOUT["max_hashes"], LAYOUT["bits"], LAYOUT["functions"])
+        levels.append((label, [(matching.relevant(index, h), rates, 0.1)], FILTER, FPR))
+    return matching.judged(h, levels, ["prefix", "read"], lambda x: Scratch(spark, "judged").cut(x)[0])
+
+
+def agg5_discarded(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of each level and target that its filters discard."""
+    rows = matching.discarded(_judged(spark, d, _read_hashes(spark, d)), ["hierarchy", "prefix", "target"])
+    return rows.filter("dis_matches_rel_filter > 0 OR dis_matches_fpr_query > 0")
+
+
+def snk7_sta(spark: SparkSession, d: str) -> DataFrame:
+    """The 18 columns of a .sta over two levels."""
+    h = _read_hashes(spark, d)
+    return matching.sta(h, _judged(spark, d, h), ["prefix", "read"], ["A", "B"])
+
+
 def win4_best(spark: SparkSession, d: str) -> DataFrame:
     return matching.best_per_read(_matches(spark, d), ["read"])
 
@@ -226,6 +282,7 @@ def src8_accessions(spark: SparkSession, d: str) -> DataFrame:
 
 FUNCTIONS = (
     seq1_encode, seq2_kmers, seq3_canonical, seq3_hashes, seq4_minimizers, agg1_target_sizes, agg19_bins, mth7_target_rates, agg18_true_rates, mth10_layouts, mth10_best,
+    mth10_modes, mth10_fixed, mth5_functions, mth11_bin_map, flt1_min_length, flt3_skipped, agg5_discarded, snk7_sta,
     joi1_counts, flt4_rel_cutoff, flt5_rel_filter, flt6_fpr_query, joi3_databases, flt7_hierarchy, joi6_mates, snk4_unclassified, snk7_stats, win4_best,
     res1_unique, res2_lca, res3_skip, agg5_counters, res4_em_round, res4_em, res5_one, src4_batches, src8_accessions,
 )
@@ -284,7 +341,82 @@ lay AS (SELECT cap, n_bins, floor(raw * ({_BITS.format("(1 - exp(ln(1 - fp) / sp
 done AS (SELECT *, bits * ceil(n_bins / 64) * 64 AS size FROM lay)"""
 )
 
+_ROUNDS = 10
+_EM_ALL = """WITH m AS MATERIALIZED (SELECT run_label, readid, target, max(kcount) AS k FROM read_matches WHERE readid IS NOT NULL AND target IS NOT NULL AND kcount IS NOT NULL GROUP BY ALL),
+c AS MATERIALIZED (SELECT run_label, readid, count(*) AS n FROM m GROUP BY ALL),
+u AS (SELECT target, count(*) FILTER (WHERE n = 1) AS u FROM m JOIN c USING (run_label, readid) GROUP BY target),
+p0 AS MATERIALIZED (SELECT target, u, 0 AS g, u / greatest(1, (SELECT sum(u) FROM u)) AS p FROM u)""" + "".join(
+    f""",
+a{i} AS (SELECT target, count(*) AS g FROM (SELECT m.target, row_number() OVER (PARTITION BY m.run_label, m.readid ORDER BY p DESC, k DESC, m.target) AS r
+  FROM m JOIN c USING (run_label, readid) JOIN p{i - 1} q ON q.target = m.target WHERE n > 1) WHERE r = 1 GROUP BY target),
+p{i} AS MATERIALIZED (SELECT q.target, u, coalesce(a{i}.g, 0) AS g, (u + coalesce(a{i}.g, 0)) / (SELECT count(*) FROM c) AS p FROM p{i - 1} q LEFT JOIN a{i} ON a{i}.target = q.target)"""
+    for i in range(1, _ROUNDS + 1)
+)
+_K, _W = 19, 31
+_N = _W - _K + 1
+_MINIMIZERS = f"""WITH RECURSIVE refs AS (SELECT 'd' || doc_id AS target, {_DNA} AS seq FROM documents WHERE text IS NOT NULL),
+letters AS (SELECT target, i, l, CAST(strpos('ACGT', substr(seq, i + 1, 1)) - 1 AS BIGINT) AS c FROM (SELECT target, seq, length(seq) AS l, unnest(range(0, length(seq))) AS i FROM refs WHERE length(seq) >= {_W})),
+rolled AS (SELECT target, i, l, {" + ".join(f"lead(c, {j}) OVER w * {4 ** (_K - 1 - j)}" for j in range(_K))} AS f, {" + ".join(f"(3 - lead(c, {j}) OVER w) * {4 ** j}" for j in range(_K))} AS b
+  FROM letters WINDOW w AS (PARTITION BY target ORDER BY i)),
+hashed AS (SELECT target, i, l - {_K} AS last, least(xor(f, {dna.seed(_K)}), xor(b, {dna.seed(_K)})) AS h FROM rolled WHERE i <= l - {_K}),
+placed AS (SELECT *, 1048575 - min(h * 1048576 + 1048575 - i) OVER (PARTITION BY target ORDER BY i ROWS BETWEEN CURRENT ROW AND {_N - 1} FOLLOWING) % 1048576 AS place,
+  coalesce({", ".join(f"CASE WHEN lead(h, {j}) OVER w < h THEN i + {j} END" for j in range(1, _N))}) AS lesser FROM hashed WINDOW w AS (PARTITION BY target ORDER BY i)),
+step AS MATERIALIZED (SELECT target, i, h, place, coalesce(lesser, CASE WHEN i + {_N} <= last THEN lead(place) OVER (PARTITION BY target ORDER BY i) END) AS nxt FROM placed),
+walk AS (SELECT target, place AS i FROM step WHERE i = 0 UNION ALL SELECT walk.target, step.nxt FROM walk JOIN step ON step.target = walk.target AND step.i = walk.i WHERE step.nxt IS NOT NULL)
+SELECT refs.target, count(x.h) AS n_minimizers, count(DISTINCT x.h) AS n_distinct FROM refs LEFT JOIN (SELECT step.target, h FROM walk JOIN step ON step.target = walk.target AND step.i = walk.i) x ON x.target = refs.target GROUP BY refs.target"""
+_H2 = f"ceil(cap * ln(0.05) / ln(1 / pow(2.0, {bloom.LN2})))"
+_CHOSEN = (
+    _INDEX
+    + f""", cand AS (SELECT top, unnest(range(top, least(100, top) - 1, -least(100, top))) AS cap FROM {_TOP}),
+per AS (SELECT cap, any_value(top) AS top, sum(ceil(n_hashes / cap)) AS n_bins, ceil(any_value(top) / cap) AS split FROM cand, sizes GROUP BY cap),
+raw AS (SELECT *, {_H2} AS raw FROM per),
+chosen AS (SELECT *, CASE WHEN floor({bloom.LN2} * raw / cap) IN (0) OR floor({bloom.LN2} * raw / cap) > 5 THEN 5.0 ELSE floor({bloom.LN2} * raw / cap) END AS h FROM raw),
+near AS (SELECT *, least(pow(1 - exp(-h / (raw / ceil(top / split))), h), 0.05) AS fp FROM chosen)
+SELECT cap AS n_hashes, CAST(h AS INTEGER) AS n_functions, round(floor(raw * (ceil(cap * (-h / ln(1 - exp(ln(1 - exp(ln(1 - fp) / split)) / h)))) / ceil(cap * (-h / ln(1 - exp(ln(fp) / h)))))) / 1000, 1) AS kbits FROM near"""
+)
+_JUDGED = (
+    _INDEX
+    + ", "
+    + _kmers("read_k", "reads", "read, prefix")
+    + f""", n AS (SELECT read, count(*) AS n_hashes FROM read_k GROUP BY read), f AS (SELECT target, {_FP} AS f FROM sizes),
+c AS (SELECT r.prefix, r.read, x.target, x.db, n.n_hashes, count(*) AS k FROM read_k r JOIN ix x USING (kmer) JOIN n ON n.read = r.read GROUP BY ALL),
+e AS (SELECT c.*, f, max(k) OVER w AS hi, min(k) OVER w AS lo FROM c JOIN f USING (target) WHERE k >= greatest(1, ceil(n_hashes * 0.1)) WINDOW w AS (PARTITION BY read, db)),
+g AS (SELECT *, CASE WHEN k < hi - ceil((hi - lo) * {FILTER}) THEN 'filter' WHEN k < n_hashes AND 1 - list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n_hashes + 1.0) - lgamma(i + 1.0) - lgamma(n_hashes - i + 1.0) + i * ln(f) + (n_hashes - i) * ln(1 - f)))) > {FPR} THEN 'fpr' ELSE 'kept' END AS verdict FROM e),
+j AS (SELECT CASE WHEN db = 0 THEN 'A' ELSE 'B' END AS hierarchy, * FROM g WHERE db = 0 OR read NOT IN (SELECT read FROM g WHERE db = 0 AND verdict = 'kept'))"""
+)
+_STA_SUMS = ["seq_classified", "seq_unique_matches", "matches", "dis_matches_rel_filter", "dis_matches_fpr_query", "kmers_matched", "kmers_from_classified_seqs"]
+
 ORACLES = {
+    "seq4_minimizers": _MINIMIZERS,
+    "res4_em": _EM_ALL + f' SELECT target, u AS "unique", g AS assigned, round(p, 9) AS p FROM p{_ROUNDS}',
+    "mth10_modes": _LAYOUTS
+    + ", s AS (SELECT cap, n_bins, size / min(size) OVER () AS a, n_bins / min(n_bins) OVER () AS b FROM done WHERE size > 0), modes(mode, dev, fs, fb) AS (VALUES "
+    + ", ".join(f"('{m}', {x}, {y}, {z})" for m, (x, y, z) in bloom.MODES.items())
+    + ") SELECT mode, cap AS n_hashes, CAST(n_bins AS BIGINT) AS n_bins FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY round((1 + dev * dev) * (a * b) / (fs * a + fb * b), 12), cap DESC) AS r FROM s, modes) WHERE r = 1",
+    "mth10_fixed": _LAYOUTS
+    + f", x AS (SELECT *, floor({FIXED_BITS}.0 / (ceil(n_bins / 64) * 64)) AS bits FROM per) SELECT cap AS n_hashes, CAST(n_bins AS BIGINT) AS n_bins, CAST(bits AS BIGINT) AS bin_bits, round(1 - pow(1 - pow(1 - exp(-4.0 / (bits / cap)), 4.0), split), 9) AS fp FROM x WHERE bits > 0",
+    "mth5_functions": _CHOSEN,
+    "mth11_bin_map": _INDEX
+    + """, b AS (SELECT target, n_hashes, CAST(ceil(n_hashes / 500.0) AS BIGINT) AS bins FROM sizes), e AS (SELECT *, least(CAST(ceil(n_hashes / bins) AS BIGINT), 500) AS each, unnest(range(0, bins)) AS bin FROM b)
+SELECT target, bin, bin * each AS "first", least(bin * each + each - 1, n_hashes - 1) AS "last" FROM e WHERE bin * each < n_hashes""",
+    "flt1_min_length": _BASE + ", " + _kmers("ref_k", "(SELECT * FROM refs WHERE length(seq) >= 600)", "file, target") + " SELECT target, count(*) AS n_hashes FROM (SELECT DISTINCT file, target, kmer FROM ref_k) GROUP BY target",
+    "flt3_skipped": _BASE
+    + f", n AS (SELECT read, length(seq) AS l, greatest(length(seq) - {K} + 1, 0) AS n FROM reads) SELECT read, CAST(CASE WHEN n > 200 THEN 0 ELSE n END AS INTEGER) AS n_hashes, CASE WHEN l < {K} THEN 'small' WHEN n > 200 THEN 'big' ELSE '-' END AS skipped FROM n",
+    "agg5_discarded": _JUDGED
+    + " SELECT hierarchy, prefix, target, count(*) FILTER (WHERE verdict = 'filter') AS dis_matches_rel_filter, count(*) FILTER (WHERE verdict = 'fpr') AS dis_matches_fpr_query FROM j WHERE verdict <> 'kept' GROUP BY ALL",
+    "snk7_sta": _JUDGED
+    + f""", per AS (SELECT prefix, hierarchy, read, count(*) FILTER (WHERE verdict = 'kept') AS c, count(*) FILTER (WHERE verdict = 'filter') AS f, count(*) FILTER (WHERE verdict = 'fpr') AS q, max(k) AS best, max(n_hashes) AS n FROM j GROUP BY ALL),
+lev AS (SELECT prefix, hierarchy, count(*) FILTER (WHERE c > 0) AS seq_classified, count(*) FILTER (WHERE c = 1) AS seq_unique_matches, sum(c) AS matches, sum(f) AS dis_matches_rel_filter, sum(q) AS dis_matches_fpr_query,
+  coalesce(sum(best) FILTER (WHERE c > 0), 0) AS kmers_matched, coalesce(sum(n) FILTER (WHERE c > 0), 0) AS kmers_from_classified_seqs FROM per GROUP BY ALL),
+proc AS (SELECT prefix, count(*) FILTER (WHERE length(seq) >= {K}) AS seq_processed, coalesce(sum(n.n_hashes), 0) AS kmers FROM reads LEFT JOIN n USING (read) GROUP BY prefix),
+grid AS (SELECT proc.prefix, x.hierarchy, seq_processed, kmers, {", ".join(f"coalesce({c}, 0) AS {c}" for c in _STA_SUMS)} FROM proc CROSS JOIN (VALUES ('A'), ('B')) x(hierarchy) LEFT JOIN lev ON lev.prefix = proc.prefix AND lev.hierarchy = x.hierarchy),
+tot AS (SELECT prefix, '-total-' AS hierarchy, max(seq_processed) AS seq_processed, max(kmers) AS kmers, {", ".join(f"sum({c}) AS {c}" for c in _STA_SUMS)} FROM grid GROUP BY prefix),
+al AS (SELECT * FROM grid UNION ALL SELECT * FROM tot), z AS (SELECT al.*, tot.seq_processed - tot.seq_classified AS un, greatest(al.seq_processed, 1) AS of_ FROM al JOIN tot USING (prefix))
+SELECT CAST(prefix AS VARCHAR) AS prefix, hierarchy AS hierarchy_label, seq_processed, CAST(un AS BIGINT) AS seq_unclassified, CAST(seq_classified AS BIGINT) AS seq_classified, round(seq_classified / of_ * 100, 6) AS seq_classified_perc,
+CAST(seq_unique_matches AS BIGINT) AS seq_unique_matches, round(seq_unique_matches / of_ * 100, 6) AS seq_unique_matches_perc, CAST(seq_classified - seq_unique_matches AS BIGINT) AS seq_multiple_matches,
+round((seq_classified - seq_unique_matches) / of_ * 100, 6) AS seq_multiple_matches_perc, CAST(matches AS BIGINT) AS matches, round(CASE WHEN seq_classified > 0 THEN matches / seq_classified ELSE 0.0 END, 6) AS avg_matches_ref_seq,
+CAST(dis_matches_rel_filter AS BIGINT) AS dis_matches_rel_filter, CAST(dis_matches_fpr_query AS BIGINT) AS dis_matches_fpr_query, CAST(kmers AS BIGINT) AS kmers_proccessed, CAST(kmers_matched AS BIGINT) AS kmers_matched,
+CAST(kmers_from_classified_seqs AS BIGINT) AS kmers_from_classified_seqs, round(CASE WHEN kmers_from_classified_seqs > 0 THEN kmers_matched / kmers_from_classified_seqs * 100 ELSE 0.0 END, 6) AS kmers_matched_perc FROM z""",
     "seq1_encode": "SELECT doc_id, " + ", ".join(f"length(text) - length(replace(upper(text), '{c}', '')) AS n_{c.lower()}" for c in "CGT") + " FROM documents WHERE text IS NOT NULL",
     "seq2_kmers": _BASE + f", s AS (SELECT target, substr(seq, i, {K}) AS m FROM (SELECT target, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM refs WHERE length(seq) >= {K})) SELECT r.target, count(s.m) AS n_kmers, count(DISTINCT s.m) AS n_distinct FROM refs r LEFT JOIN s ON s.target = r.target GROUP BY r.target",
     "seq3_canonical": _BASE + ", " + _kmers("k", "reads", "read", 5) + " SELECT kmer, count(*) AS n FROM k GROUP BY kmer",
@@ -342,6 +474,6 @@ SELECT prefix, target, CAST(sum(matches) AS BIGINT) AS matches, CAST(sum(u) AS B
     "res5_one": _EM + " SELECT run_label, readid, target, k AS kmer_count FROM (SELECT m.*, row_number() OVER (PARTITION BY run_label, readid ORDER BY p DESC, k DESC, m.target) AS r FROM m JOIN p1 ON p1.target = m.target) WHERE r = 1",
     "src4_batches": """WITH b AS (SELECT prefix, count(*) AS n_files, count(file2) AS n_paired FROM run_manifest GROUP BY prefix), p AS (SELECT run_label, count(*) AS n FROM read_matches GROUP BY 1)
 SELECT b.prefix, n_files, n_paired, coalesce(n, 0) AS n_rows FROM b LEFT JOIN p ON p.run_label = b.prefix""",
-    "src8_accessions": r"""SELECT file, CASE WHEN regexp_extract(b, 'GC[A|F]_[0-9]+\.[0-9]+') <> '' THEN regexp_extract(b, 'GC[A|F]_[0-9]+\.[0-9]+') ELSE b END AS accession, regexp_replace(c, '\.[^.]*$', '') AS stem
+    "src8_accessions": r"""SELECT file, CASE WHEN regexp_extract(b, 'GC[AF]_[0-9]+\.[0-9]+') <> '' THEN regexp_extract(b, 'GC[AF]_[0-9]+\.[0-9]+') ELSE b END AS accession, regexp_replace(c, '\.[^.]*$', '') AS stem
 FROM (SELECT file, split_part(replace(file, 'GX', 'GC'), '/', -1) AS b, split_part(file, '/', -1) AS c FROM db_info WHERE file IS NOT NULL)""",
 }
