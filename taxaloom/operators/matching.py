@@ -23,11 +23,13 @@ def hashed(seqs: DataFrame, k: int, w: int, seq: str = "seq", name: str = "hashe
     return seqs.withColumn(name, dna.minimizer_hashes(k, w)(F.col(seq)))
 
 
-def build_index(refs: DataFrame, k: int, w: int, min_length: int = 0) -> tuple[DataFrame, DataFrame]:
+def build_index(refs: DataFrame, k: int, w: int, min_length: int = 0, keep=None) -> tuple[DataFrame, DataFrame]:
     """From `file, target, seq`: the distinct `hash, target` rows, and `target, n_hashes`,
     the distinct hashes of each file summed over a target's files. Sequences shorter than
-    `min_length` are skipped; targets without hashes have no rows."""
-    rows = hashed(refs.filter(F.length("seq") >= min_length), k, w).select("file", "target", F.explode(F.array_distinct("hashes")).alias("hash"))
+    `min_length` are skipped; targets without hashes have no rows. `keep` may cut the plan
+    behind the hashes, for those who read both results."""
+    sets = hashed(refs.filter(F.length("seq") >= min_length), k, w).select("file", "target", F.array_distinct("hashes").alias("hashes"))
+    rows = (keep(sets) if keep else sets).select("file", "target", F.explode("hashes").alias("hash"))
     sizes = rows.distinct().groupBy("target").agg(F.count(F.lit(1)).alias("n_hashes"))
     return rows.select("hash", "target").distinct(), sizes
 

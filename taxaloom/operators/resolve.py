@@ -9,20 +9,33 @@ from ..session import Scratch
 
 
 def lca(groups: DataFrame, lineage: DataFrame, key: list[str], node: str = "target", root: str = "1") -> DataFrame:
-    """`key..., lca` per group of nodes: every ancestor is counted, and the deepest one
-    that all nodes of the group share wins. Counting is algebraic, so a group of any
-    size is combined map-side. Nodes outside the lineage hang below the root.
+    """`key..., lca` per group of nodes. Nodes outside the lineage hang below the root.
+
+    Groups of equal nodes are one class, so the tree is met by classes and not by groups: a
+    group's class is its number of nodes, the least and the greatest of them and 128 bits
+    of their hashes, all algebraic, so a group of any size is combined map-side. Of one
+    group of each class every ancestor is counted, and the deepest one that all its nodes
+    share wins.
 
     lineage: `node, path` (root first)."""
     nodes = groups.select(*key, F.col(node).alias("__n")).distinct()
+    mark = ["__c", "__a", "__b", "__x", "__y"]
+    marks = nodes.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("__c"), F.min("__n").alias("__a"), F.max("__n").alias("__b"), F.bit_xor(F.xxhash64("__n")).alias("__x"), F.bit_xor(F.xxhash64("__n", F.lit(1))).alias("__y")
+    )
+    one = marks.groupBy(*mark).agg(F.min(F.struct(*key)).alias("__k"))
+    firsts = one.select(*[F.col(f"__k.{k}").alias(k) for k in key], F.col("__c").alias("n"))
     own = lineage.select(F.col("node").alias("__l"), "path")
-    rows = nodes.join(own, F.col("__n") == F.col("__l"), "left")
+    rows = nodes.join(firsts, key).join(own, F.col("__n") == F.col("__l"), "left")
     path = F.coalesce("path", F.array(F.lit(root), F.col("__n")))
-    each = rows.select(*key, F.posexplode(path).alias("depth", "anc"))
-    counts = each.groupBy(*key, "anc", "depth").agg(F.count(F.lit(1)).alias("c"))
-    size = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.join(size, key).filter(F.col("c") == F.col("n"))
-    return kept.groupBy(*key).agg(F.max_by("anc", "depth").alias("lca"))
+    each = rows.select(*key, "n", F.posexplode(path).alias("depth", "anc"))
+    counts = each.groupBy(*key, "n", "anc", "depth").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == F.col("n"))
+    found = counts.groupBy(*key).agg(F.max_by("anc", "depth").alias("lca"))
+    named = one.select(*mark, *[F.col(f"__k.{k}").alias(k) for k in key]).join(found, key).select(*mark, "lca")
+    same = marks["__c"] == named["__c"]
+    for m in mark[1:]:
+        same = same & marks[m].eqNullSafe(named[m])
+    return marks.join(named, same).select(*[marks[k] for k in key], "lca")
 
 
 def resolve(matches: DataFrame, key: list[str], how: str, lineage: DataFrame | None = None, root: str = "1") -> DataFrame:
@@ -81,25 +94,26 @@ def em(matches: DataFrame, key: list[str], max_iter: int = 10, threshold: float
     relation when a round limit ends it, as the latter uses the newer probabilities.
     """
     scratch = Scratch(matches.sparkSession, "em")
-    cls, _ = scratch.cut(classes(matches, key).withColumn("cls", F.monotonically_increasing_id()))
+    cls, cls_path = scratch.cut(classes(matches, key).withColumn("cls", F.monotonically_increasing_id()))
     reads = cls.agg(F.sum("weight").alias("n")).first()["n"] or 0
     targets = cls.select(F.explode("targets").alias("target")).distinct()
     unique = cls.filter(F.size("targets") == 1).select(F.col("targets")[0].alias("target"), F.col("weight").alias("unique"))
     prob = targets.join(unique, "target", "left").select("target", F.coalesce("unique", F.lit(0)).alias("unique"))
     total = prob.agg(F.sum("unique").alias("n")).first()["n"] or 1
     prob, path = scratch.cut(prob.select("target", "unique", F.lit(0).cast("bigint").alias("assigned"), (F.col("unique") / F.lit(total)).alias("p")))
-    many, _ = scratch.cut(cls.filter(F.size("targets") > 1).select("cls", "weight", F.posexplode("targets").alias("pos", "target")))
+    many, many_path = scratch.cut(cls.filter(F.size("targets") > 1).select("cls", "weight", F.posexplode("targets").alias("pos", "target")))
     rounds = 0
     while True:
         got = _assigned(many, prob)
         nxt = prob.join(got, "target", "left").select("target", "unique", F.coalesce("g", F.lit(0)).alias("assigned"), "p", ((F.col("unique") + F.coalesce("g", F.lit(0))) / F.lit(max(1, reads))).alias("q"))
-        nxt, new = scratch.cut(nxt)
-        change = nxt.agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("d")).first()["d"] or 0.0
+        nxt, new, change = scratch.cut_and_see(nxt, F.sum(F.abs(F.col("p") - F.col("q"))))
+        change = change or 0.0
         scratch.drop(path)
         prob, path = nxt.select("target", "unique", "assigned", F.col("q").alias("p")), new
         rounds += 1
         if change <= threshold or (max_iter and rounds >= max_iter):
             break
+    scratch.drop(cls_path, many_path)
     order = Window.partitionBy(*key).orderBy(F.desc("p"), F.desc("kmer_count"), "target")
     one = matches.join(prob.select("target", "p"), "target").withColumn("__r", F.row_number().over(order)).filter("__r = 1").select(*key, "target", "kmer_count")
     return prob, one, rounds

@@ -101,8 +101,9 @@ def build_custom(
         on = "target" if "target" in seqs.columns else "file"
         named = seqs.join(rows.join(bins, "target").select(F.col(on).alias("__on"), "bin", *(["target"] if on == "file" else [])), F.col(on) == F.col("__on"))
         refs = named.select("file", F.col("bin").alias("target"), "seq")
-        index, sizes = matching.build_index(refs, o.kmer, o.window, o.min_length)
-        kept, _ = Scratch(spark, "sizes").cut(sizes)
+        scratch = Scratch(spark, "build")
+        index, sizes = matching.build_index(refs, o.kmer, o.window, o.min_length, lambda x: scratch.cut(x)[0])
+        kept, _ = scratch.cut(sizes)
         fixed = dict(total_bits=int(o.filter_size_mb * 8388608)) if o.filter_size_mb else dict(fp=o.max_fp)
         best = bloom.best_layout(bloom.layouts(kept, functions=o.hash_functions, **fixed), o.mode, "fp" if o.filter_size_mb else "size_bits").first()
         if best is None:
@@ -114,6 +115,7 @@ def build_custom(
         rates = bloom.target_rates(kept, best["n_hashes"], best["bin_bits"], best["n_functions"])
         layout = {k: best[k] for k in ("n_hashes", "n_bins", "n_functions", "bin_bits")}
         matching.save_index(index, rates, out, o.partitions, kmer=o.kmer, window=o.window, **layout)
+        scratch.drop(scratch.root)
         at.mark("run")
 
 

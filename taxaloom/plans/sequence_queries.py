@@ -51,9 +51,10 @@ def doc_tax(spark: SparkSession, d: str) -> DataFrame:
     return root.unionByName(langs).unionByName(inner).unionByName(leaf)
 
 
-def _index(spark: SparkSession, d: str, db: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _index(spark: SparkSession, d: str, db: int | None = None, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     refs = references(spark, d)
-    return matching.build_index(refs if db is None else refs.filter(F.col("db") == db), K, K)
+    cut = (lambda x: Scratch(spark, "hashes").cut(x)[0]) if keep else None
+    return matching.build_index(refs if db is None else refs.filter(F.col("db") == db), K, K, keep=cut)
 
 
 def _read_hashes(spark: SparkSession, d: str, paired: bool = False) -> DataFrame:
@@ -174,7 +175,11 @@ def flt5_rel_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flt6_fpr_query(spark: SparkSession, d: str) -> DataFrame:
-    return matching.fpr_query(matching.rel_cutoff(_counts(spark, d), 0.1), _rates(spark, d), FPR).select("read", "target", "kmer_count")
+    index, sizes = _index(spark, d, keep=True)
+    h = _read_hashes(spark, d)
+    counts = matching.count_matches(h, matching.relevant(index, h), ["read"])
+    rates = bloom.target_rates(sizes, LAYOUT["max_hashes"], LAYOUT["bits"], LAYOUT["functions"])
+    return matching.fpr_query(matching.rel_cutoff(counts, 0.1), rates, FPR).select("read", "target", "kmer_count")
 
 
 def joi3_databases(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +214,7 @@ def snk7_stats(spark: SparkSession, d: str) -> DataFrame:
 def _judged(spark: SparkSession, d: str, h: DataFrame) -> DataFrame:
     levels = []
     for label, db in (("B", 1), ("A", 0)):
-        index, sizes = _index(spark, d, db)
+        index, sizes = _index(spark, d, db, keep=True)
         rates = bloom.target_rates(sizes, LAYOUT["max_hashes"], LAYOUT["bits"], LAYOUT["functions"])
         levels.append((label, [(matching.relevant(index, h), rates, 0.1)], FILTER, FPR))
     return matching.judged(h, levels, ["prefix", "read"], lambda x: Scratch(spark, "judged").cut(x)[0])
@@ -236,7 +241,7 @@ def res1_unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 def res2_lca(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.resolve(_matches(spark, d), ["read"], "lca", taxonomy.kept_lineages(doc_tax(spark, d)))
+    return resolve.resolve(Scratch(spark, "matches").cut(_matches(spark, d))[0], ["read"], "lca", taxonomy.kept_lineages(doc_tax(spark, d)))
 
 
 def res3_skip(spark: SparkSession, d: str) -> DataFrame:
@@ -244,7 +249,7 @@ def res3_skip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg5_counters(spark: SparkSession, d: str) -> DataFrame:
-    m = _matches(spark, d).join(reads(spark, d).select("read", "prefix"), "read")
+    m, _ = Scratch(spark, "matches").cut(_matches(spark, d).join(reads(spark, d).select("read", "prefix"), "read"))
     r = resolve.resolve(m, ["read", "prefix"], "lca", taxonomy.kept_lineages(doc_tax(spark, d)))
     return resolve.counters(m, r, ["prefix"])
 

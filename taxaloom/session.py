@@ -73,11 +73,16 @@ class Scratch:
         df.write.mode("error").option("compression", "zstd").parquet(path)
         return path
 
+    def cut_and_see(self, df: DataFrame, measure: Column) -> tuple[DataFrame, str, object]:
+        """As `cut`, with an aggregate of the rows, taken on the way."""
+        seen = Observation()
+        out, path = self.cut(df.observe(seen, measure.alias("n")))
+        return out, path, seen.get["n"]
+
     def cut_and_count(self, df: DataFrame, condition: Column) -> tuple[DataFrame, str, int]:
         """As `cut`, with the number of rows that meet the condition, counted on the way."""
-        seen = Observation()
-        out, path = self.cut(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
-        return out, path, int(seen.get["n"])
+        out, path, n = self.cut_and_see(df, F.count(F.when(condition, 1)))
+        return out, path, int(n)
 
     def cut(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = self.write(df)
