@@ -81,8 +81,7 @@ def _bins(cand: DataFrame, sized: DataFrame) -> DataFrame:
     marks = cand.select("cap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top") - 1, F.col("cap"))).alias("v"), F.lit(0).cast("bigint").alias("m"))
     rows = marks.unionByName(sized.select(F.lit(None).cast("bigint").alias("cap"), F.col("n").alias("v"), "m")).withColumn("b", F.floor(F.col("v") / BUCKET))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    base = sized.groupBy(F.floor(F.col("n") / BUCKET).alias("b")).agg(F.sum("m").alias("m"))
-    base = rows.select("b").distinct().join(base, "b", "left").select("b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    base = rows.groupBy("b").agg(F.sum("m").alias("m")).select("b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("b").orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
     upto = rows.withColumn("upto", F.sum("m").over(within)).filter(F.col("cap").isNotNull()).join(base, "b")
     total = sized.agg(F.sum("m").alias("n")).select("n").scalar()
